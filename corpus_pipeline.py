@@ -1,26 +1,54 @@
 """From raw documents to training shards, in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
-written and read again as the next stage's ``docs``.
+written and read again as the next stage's ``docs``. All but the last return the
+columns of ``documents``; the last adds ``shard``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.llm import simhash
+from verdigris.llm import decontaminate, langid, mixing, sharding, simhash
 from verdigris.llm._common import durable, read
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go."""
+    return langid.keep_identified(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash.drop_near_duplicates(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontaminate.drop_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents beyond their source's part of the token budget go."""
+    return mixing.keep_mixed(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets its shard."""
+    return sharding.add_shards(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("source_mixing", mixed),
+    ("sharding", sharded),
+]
 
-#: The language model of the first stage and the iterative components of the
-#: second have no SQL; tests hold run() against a brute-force version.
+#: The connected components of the second stage take as many rounds as the data
+#: ask for, which one SQL statement for whole tables can't; tests hold run()
+#: against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -30,3 +30,275 @@ SELECT least(a.rep, b.rep), greatest(a.rep, b.rep), bit_count(xor(a.fp, b.fp))::
 FROM reps a JOIN reps b ON a.rep < b.rep
 WHERE bit_count(xor(a.fp, b.fp)) <= {10} AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
 """
+
+SQL["op1_source_mixing"] = r"""
+WITH keyed AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f]+')), 0)::BIGINT AS tokens,
+         ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h
+  FROM documents WHERE doc_id IS NOT NULL
+), totals AS (
+  SELECT source, sum(tokens)::BIGINT AS total FROM keyed GROUP BY source
+), weighted AS (
+  SELECT source, total, round(pow(total::DOUBLE, 0.5) * 1000)::BIGINT AS weight FROM totals WHERE total > 0
+), tiers AS (
+  SELECT t.tier, floor((SELECT sum(total) FROM totals)::BIGINT * t.share)::BIGINT AS goal
+  FROM (VALUES (1, 0.1::DOUBLE), (2, 0.3::DOUBLE), (3, 0.6::DOUBLE)) t(tier, share)
+), spread AS (
+  SELECT *, coalesce(sum(total) OVER (PARTITION BY tier ORDER BY total / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS paid,
+    (sum(weight) OVER (PARTITION BY tier) - coalesce(sum(weight) OVER (PARTITION BY tier ORDER BY total / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS rest
+  FROM weighted, tiers
+), levels AS (
+  SELECT tier, max((goal - paid) / rest) AS level FROM spread WHERE (goal - paid) * weight::DOUBLE <= total::DOUBLE * rest GROUP BY tier
+), budgets AS (
+  SELECT source, tier, greatest(CASE WHEN level IS NULL THEN total ELSE least(total, floor(level * weight)::BIGINT) END, 0) AS budget
+  FROM spread LEFT JOIN levels USING (tier)
+), running AS (
+  SELECT source, h, sum(sum(tokens)) OVER (PARTITION BY source ORDER BY h) AS upto FROM keyed GROUP BY source, h
+), cuts AS (
+  SELECT b.source, tier, coalesce(min(h) FILTER (WHERE upto > budget), 1 << 60) AS below FROM budgets b JOIN running r USING (source) GROUP BY b.source, tier
+)
+SELECT doc_id, k.source, tokens, min(tier)::INTEGER AS tier FROM keyed k JOIN cuts c ON k.source = c.source AND h < below GROUP BY doc_id, k.source, tokens
+"""
+
+SQL["op2_chat_formatting"] = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS content,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS m
+  FROM conversations WHERE conv_id IS NOT NULL
+), typed AS (
+  SELECT *, CASE WHEN ltrim(content) LIKE '[%' AND json_valid(content)
+    THEN from_json(content, '[{"type":"VARCHAR","text":"VARCHAR","url":"VARCHAR","width":"INTEGER","height":"INTEGER","seconds":"DOUBLE","pages":"INTEGER"}]') END AS arr
+  FROM turns
+), parts AS (
+  SELECT conv_id, m, role, CASE WHEN len(list_filter(arr, lambda p: p IS NOT NULL)) > 0 AND len(list_filter(arr, lambda p: p IS NOT NULL AND p.type IS NULL)) = 0
+    THEN list_filter(arr, lambda p: p IS NOT NULL)
+    ELSE [{'type': 'text', 'text': content, 'url': NULL::VARCHAR, 'width': NULL::INTEGER, 'height': NULL::INTEGER, 'seconds': NULL::DOUBLE, 'pages': NULL::INTEGER}] END AS arr
+  FROM typed
+), each AS (
+  SELECT conv_id, m, role, len(arr) AS n, unnest(arr) AS p, unnest(range(len(arr))) AS i FROM parts
+), numbered AS (
+  SELECT *, p.type IN ('image', 'audio', 'document') AS att,
+    sum((p.type IN ('image', 'audio', 'document'))::INTEGER) OVER (PARTITION BY conv_id ORDER BY m, i ROWS UNBOUNDED PRECEDING) AS number FROM each
+), shown AS (
+  SELECT conv_id, m, i,
+    CASE WHEN i = 0 THEN '<|start|>' || role || chr(10) ELSE '' END
+    || CASE WHEN att THEN '<|' || p.type || '_' || number || '|>' ELSE coalesce(p.text, '') END
+    || CASE WHEN i = n - 1 THEN '<|end|>' || chr(10) ELSE '' END AS s,
+    CASE WHEN att THEN number || '|' || p.type || '|' || coalesce(p.url, '') END AS ref,
+    CASE WHEN att THEN 0 ELSE len(regexp_extract_all(coalesce(p.text, ''), '[\p{L}\p{N}]+|[^ \t\r\n\f\p{L}\p{N}]')) END AS text_tokens,
+    CASE WHEN NOT att THEN 0
+         WHEN p.type = 'image' THEN CASE WHEN p.width > 0 AND p.height > 0 THEN ceil(p.width / 28) * ceil(p.height / 28) ELSE 256 END
+         WHEN p.type = 'audio' THEN ceil(coalesce(greatest(p.seconds, 0.0), 30.0) * 12.5)
+         ELSE coalesce(greatest(p.pages, 0), 1) * 512 END AS attachment_tokens
+  FROM numbered
+)
+SELECT conv_id, max(m)::BIGINT AS messages, string_agg(s, '' ORDER BY m, i) AS rendered, count(*) AS parts, count(ref) AS attachments,
+  coalesce(string_agg(ref, chr(10) ORDER BY m, i), '') AS refs, sum(text_tokens)::BIGINT AS text_tokens,
+  (sum(text_tokens) + sum(attachment_tokens) + 4 * max(m))::BIGINT AS expanded_tokens
+FROM shown GROUP BY conv_id
+"""
+
+_URN = "'<urn:uuid:' || concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), substr({h}, 13, 4), substr({h}, 17, 4), substr({h}, 21, 12)) || '>'"
+
+
+def _decoded(x: str) -> str:
+    for entity, plain in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{entity}', {plain})"
+    return x
+
+
+_HIDDEN = r"(?is)<!--.*?-->|<head\b.*?</head\s*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>"
+_BREAKS = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|article|section|header|footer|main|aside|nav|blockquote|pre|form)\b[^>]*>"
+_PLAIN = _decoded(f"regexp_replace(regexp_replace(regexp_replace(payload, '{_HIDDEN}', ' ', 'g'), '{_BREAKS}', chr(10), 'g'), '<[^>]*>', '', 'g')")
+_PLAIN = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+_TITLE = _decoded(r"regexp_extract(payload, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)")
+SQL["op4_warc_derivatives"] = rf"""
+WITH sources AS (
+  SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, md5('response|' || page_id || '|' || coalesce(url, '')) AS h
+  FROM pages WHERE page_id IS NOT NULL
+), base AS (
+  SELECT page_id, target_uri, {_URN.format(h='h')} AS source_id, 'sha256:' || sha256(payload) AS source_digest, strlen(payload) AS source_length,
+    {_PLAIN} AS text, regexp_replace({_TITLE}, '[ \t\r\n\f]+', ' ', 'g') AS title,
+    lower(regexp_extract(payload, '(?i)<html\b[^>]*\blang\s*=\s*["'']?([A-Za-z-]+)', 1)) AS html_lang,
+    len(regexp_extract_all(payload, '(?i)<a\b[^>]*\bhref\s*=')) AS links FROM sources
+), ids AS (
+  SELECT *, md5('conversion|' || source_id) AS hc, md5('metadata|' || source_id) AS hm FROM base
+), linked AS (
+  SELECT *, {_URN.format(h='hc')} AS conversion_id, {_URN.format(h='hm')} AS metadata_id FROM ids
+), each AS (
+  SELECT page_id, source_id, target_uri, source_digest, 'conversion' AS record_type, conversion_id AS record_id, 'text/plain; charset=utf-8' AS content_type, text AS block FROM linked
+  UNION ALL
+  SELECT page_id, source_id, target_uri, source_digest, 'metadata', metadata_id, 'application/warc-fields',
+    'title: ' || title || e'\r\nhtml-lang: ' || html_lang || e'\r\noutlinks: ' || links || e'\r\nsource-content-length: ' || source_length
+    || e'\r\nsource-payload-digest: ' || source_digest || e'\r\nconversion: ' || conversion_id || e'\r\nconversion-length: ' || strlen(text)
+    || e'\r\nsource-http-header: HTTP/1.1 200 OK | Content-Type: text/html; charset=utf-8 | Content-Length: ' || source_length || e'\r\n' FROM linked
+), measured AS (
+  SELECT *, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest FROM each
+)
+SELECT page_id, record_type, record_id, source_id AS refers_to, target_uri, content_type, content_length, block_digest, source_digest,
+  e'WARC/1.1\r\nWARC-Type: ' || record_type || e'\r\nWARC-Record-ID: ' || record_id || e'\r\nWARC-Date: 2026-01-01T00:00:00Z\r\nWARC-Refers-To: ' || source_id
+  || e'\r\nWARC-Target-URI: ' || target_uri || e'\r\nWARC-Payload-Digest: ' || source_digest || e'\r\nWARC-Block-Digest: ' || block_digest
+  || e'\r\nContent-Type: ' || content_type || e'\r\nContent-Length: ' || content_length || e'\r\n\r\n' AS header, block
+FROM measured
+"""
+
+
+def sharding_sql(target: int, levels: int) -> str:
+    """The k-d tree with ``levels`` levels written out."""
+    dims = ("length", "lang", "source", "spread")
+    scales = ("1", "1", "1", "1e-9")
+    parts = ["""
+points AS MATERIALIZED (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS bytes, coalesce(length(text), 0)::BIGINT AS length,
+    dense_rank() OVER (ORDER BY coalesce(lang, ''))::BIGINT AS lang, dense_rank() OVER (ORDER BY coalesce(source, ''))::BIGINT AS source,
+    coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT >> 40, 0) AS spread FROM documents
+)""", "whole AS (SELECT " + ", ".join(f"greatest(1, max({d}) - min({d})) AS {d}" for d in dims) + " FROM points)",
+        "l0 AS (SELECT *, 1::BIGINT AS leaf FROM points)"]
+    for k in range(levels):
+        width = [f"(max(p.{d}) - min(p.{d})) / any_value(w.{d})::DOUBLE * {s}" for d, s in zip(dims, scales)]
+        pick = " ".join(f"WHEN w{i} = greatest(w0, w1, w2, w3) THEN {i}" for i in range(4))
+        value = "CASE dim WHEN 0 THEN length WHEN 1 THEN lang WHEN 2 THEN source ELSE spread END"
+        parts += [
+            f"s{k} AS (SELECT leaf, sum(p.bytes) AS total, " + ", ".join(f"{w} AS w{i}" for i, w in enumerate(width)) + f" FROM l{k} p, whole w GROUP BY leaf)",
+            f"d{k} AS (SELECT leaf, total, CASE {pick} END AS dim FROM s{k} WHERE total > {target} AND greatest(w0, w1, w2, w3) > 0)",
+            f"v{k} AS (SELECT leaf, total, {value} AS v, sum(bytes) AS bytes FROM l{k} JOIN d{k} USING (leaf) GROUP BY leaf, total, v)",
+            f"u{k} AS (SELECT *, sum(bytes) OVER (PARTITION BY leaf ORDER BY v) AS upto, max(v) OVER (PARTITION BY leaf) AS last FROM v{k})",
+            f"c{k} AS (SELECT leaf, coalesce(min(v) FILTER (WHERE 2 * upto >= total), max(v)) AS cut FROM u{k} WHERE v < last GROUP BY leaf)",
+            f"l{k + 1} AS MATERIALIZED (SELECT doc_id, bytes, length, lang, source, spread, CASE WHEN cut IS NULL THEN l.leaf ELSE 2 * l.leaf + ({value} > cut)::BIGINT END AS leaf "
+            f"FROM l{k} l LEFT JOIN (SELECT c{k}.leaf, cut, dim FROM c{k} JOIN d{k} USING (leaf)) x ON l.leaf = x.leaf)",
+        ]
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, bytes, length, leaf FROM l{levels}"
+
+
+SQL["op5_kd_sharding"] = sharding_sql(16 << 20, 10)
+
+
+def _urls_sql(depth: int = 6) -> str:
+    variable = r"(?i)^(?:[0-9]+|[0-9a-f]{8,}|[0-9a-f]{8}-[0-9a-f-]{27}|[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?|.*[0-9]{4,}.*)$"
+    parts = [r"""
+cut AS (
+  SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(.*)$', 1) AS rest FROM pages
+), hosts AS (
+  SELECT page_id, nullif(regexp_replace(regexp_extract(lower(rest), '^(?:[^/?#@]*@)?([^/?#:]*)', 1), '^(?:www|m)\.', ''), '') AS host,
+    regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '(?i)\.html?$', ''), '^/+|/+$', '', 'g') AS path FROM cut
+), split AS (
+  SELECT page_id, host, CASE WHEN host IS NULL OR path = '' THEN []::VARCHAR[] ELSE regexp_split_to_array(path, '/+') END AS raw FROM hosts
+), urls AS (
+  SELECT page_id, host, CASE WHEN len(raw) <= """ + str(depth) + " THEN raw ELSE raw[1:" + str(depth - 1) + "] || [array_to_string(raw[" + str(depth) + r""":], '/')] END AS segs FROM split
+), marks AS (
+  SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::BIGINT) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id
+), marked AS MATERIALIZED (
+  SELECT u.*, m.bad FROM urls u LEFT JOIN marks m USING (page_id)
+), t0 AS (
+  SELECT host, segs, '' AS template, count(bad)::BIGINT AS labelled, coalesce(sum(bad), 0)::BIGINT AS bad FROM marked WHERE host IS NOT NULL GROUP BY host, segs
+)"""]
+    for k in range(depth):
+        parts += [
+            f"b{k} AS (SELECT host, template, segs[{k + 1}] AS seg, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad, regexp_matches(segs[{k + 1}], '{variable}') AS variable FROM t{k} WHERE len(segs) > {k} GROUP BY host, template, seg)",
+            f"n{k} AS (SELECT *, sum((NOT variable)::INTEGER) OVER w AS children, sum(CASE WHEN variable THEN 0 ELSE labelled END) OVER w AS nl, sum(CASE WHEN variable THEN 0 ELSE bad END) OVER w AS nb FROM b{k} WINDOW w AS (PARTITION BY host, template))",
+            f"m{k} AS (SELECT host, template, seg, CASE WHEN variable OR children > 40 THEN '*' WHEN children > 1 AND pow((bad * nl - nb * labelled)::DOUBLE, 2) <= 3.84 * labelled::DOUBLE * nb::DOUBLE * (nl - nb)::DOUBLE THEN '~' ELSE seg END AS name FROM n{k})",
+            f"t{k + 1} AS MATERIALIZED (SELECT t.host, t.segs, CASE WHEN m.name IS NULL THEN t.template ELSE t.template || '/' || m.name END AS template, t.labelled, t.bad FROM t{k} t LEFT JOIN m{k} m ON t.host = m.host AND t.template = m.template AND t.segs[{k + 1}] = m.seg)",
+        ]
+    return "WITH " + ",\n".join(parts) + f""",
+prior AS (SELECT coalesce(sum(bad), 0)::DOUBLE / greatest(sum(labelled), 1) AS prior FROM t0),
+judged AS (
+  SELECT host, template, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad, (sum(bad)::BIGINT + 5.0::DOUBLE * any_value(prior)) / (sum(labelled)::BIGINT + 5.0::DOUBLE) AS share FROM t{depth}, prior GROUP BY host, template
+)
+SELECT page_id, m.host, CASE WHEN t.template = '' THEN '/' ELSE t.template END AS template, j.labelled, j.bad, round(j.share, 6) AS share,
+  coalesce(j.labelled >= 5 AND j.share >= 0.4, false) AS rejected
+FROM marked m LEFT JOIN t{depth} t ON m.host = t.host AND m.segs = t.segs LEFT JOIN judged j ON t.host = j.host AND t.template = j.template
+"""
+
+
+SQL["op6_url_templates"] = _urls_sql()
+
+SQL["op7_language_id"] = r"""
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, lang, text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents
+), chosen AS (
+  SELECT lang, ws FROM docs WHERE doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) <= 400
+), trained AS (
+  SELECT lang, unit, count(*) AS c FROM (SELECT lang, unnest(ws) AS unit FROM chosen) GROUP BY lang, unit
+), grams AS (
+  SELECT n, lang, substr(m, i, n) AS unit, sum(c) AS c
+  FROM (SELECT lang, c, m, n, unnest(range(1, length(m) - n + 2)) AS i FROM (SELECT lang, c, '<' || unit || '>' AS m, unnest(range(1, least(5, length(unit) + 2) + 1)) AS n FROM trained))
+  GROUP BY n, lang, unit
+), units AS MATERIALIZED (
+  SELECT 0 AS n, lang, unit, c FROM trained UNION ALL SELECT n, lang, unit, c FROM grams
+), totals AS (
+  SELECT n, lang, sum(c) AS total FROM units GROUP BY n, lang
+), kept AS MATERIALIZED (
+  SELECT DISTINCT n, unit FROM (SELECT n, unit FROM units QUALIFY row_number() OVER (PARTITION BY n, lang ORDER BY c DESC, unit) <= CASE WHEN n = 0 THEN 20000 ELSE 10000 END)
+), sizes AS (
+  SELECT n, count(*) AS size FROM kept GROUP BY n
+), model AS MATERIALIZED (
+  SELECT n, t.lang, unit, floor(ln((coalesce(c, 0) + 0.5::DOUBLE) / (total::BIGINT + 0.5::DOUBLE * size)) * 1e6 + 0.5)::BIGINT AS logp
+  FROM kept JOIN totals t USING (n) JOIN sizes USING (n) LEFT JOIN units u USING (n, lang, unit)
+), counted AS MATERIALIZED (
+  SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(ws) AS w FROM docs) GROUP BY doc_id, w
+), vocabulary AS MATERIALIZED (
+  SELECT DISTINCT w FROM counted
+), unseen AS (
+  SELECT w, '<' || w || '>' AS m FROM vocabulary WHERE w NOT IN (SELECT unit FROM model WHERE n = 0)
+), pieces AS (
+  SELECT w, n, substr(m, i, n) AS unit FROM (SELECT w, m, n, unnest(range(1, length(m) - n + 2)) AS i FROM (SELECT w, m, unnest(range(1, least(5, length(m)) + 1)) AS n FROM unseen))
+), hits AS MATERIALIZED (
+  SELECT w, p.n, lang, floor(sum(logp)::DOUBLE / count(*))::BIGINT - 400000 AS logp FROM pieces p JOIN model m ON p.n = m.n AND p.unit = m.unit GROUP BY w, p.n, lang
+), scored AS (
+  SELECT unit AS w, lang, logp FROM model WHERE n = 0
+  UNION ALL SELECT w, lang, logp FROM hits QUALIFY n = max(n) OVER (PARTITION BY w)
+), sums AS (
+  SELECT doc_id, lang, sum(c * logp)::BIGINT AS score, sum(c)::BIGINT AS known FROM counted JOIN scored USING (w) GROUP BY doc_id, lang
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS r,
+    score - coalesce(lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, lang), score) AS ahead FROM sums
+)
+SELECT d.doc_id, r.lang AS lang_pred, coalesce(score, 0) AS score, coalesce(ahead, 0) AS lead, len(ws)::BIGINT AS words, coalesce(known, 0) AS known,
+  coalesce(ahead >= 50000 * known AND known >= 0.5 * len(ws), false) AS kept
+FROM docs d LEFT JOIN ranked r ON d.doc_id = r.doc_id AND r.r = 1
+"""
+
+SQL["op9_benchmark_decontamination"] = r"""
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL AND text <> ''
+  UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text <> ''
+), raw AS (
+  SELECT side, id, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM (SELECT side, id, regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*|\p{L}+|[.!?\n]+') AS toks FROM texts)
+), kinds AS (
+  SELECT *, CASE WHEN regexp_matches(tok, '^[0-9]') THEN 0 WHEN regexp_matches(tok, '^[.!?\n]') THEN 2 ELSE 1 END AS kind,
+    substr(tok, 1, 1) <> lower(substr(tok, 1, 1)) AND (length(tok) = 1 OR tok <> upper(tok)) AS capital FROM raw
+), typed AS (
+  SELECT *, lag(kind, 1, 2) OVER (PARTITION BY side, id ORDER BY i) AS before FROM kinds
+), canon AS (
+  SELECT side, id, tok, row_number() OVER (PARTITION BY side, id ORDER BY i) - 1 AS pos,
+    CASE WHEN kind = 0 THEN '0' WHEN kind = 1 AND before = 0 AND lower(tok) IN (UNITS) THEN '1' WHEN kind = 1 AND capital AND before <> 2 THEN '2' END AS slot
+  FROM typed WHERE kind <> 2
+), whole AS MATERIALIZED (
+  SELECT side, id, list(CASE slot WHEN '0' THEN '<NUM>' WHEN '1' THEN '<UNIT>' WHEN '2' THEN '<NAME>' ELSE lower(tok) END ORDER BY pos) AS t,
+    list(CASE WHEN slot IS NULL THEN '' ELSE slot || ':' || lower(tok) END ORDER BY pos) AS v, count(*) AS n FROM canon GROUP BY side, id
+), spans AS (
+  SELECT side, id, size, t[p + 1 : p + size] AS t, v[p + 1 : p + size] AS v, p AS pos
+  FROM (SELECT side, id, t, v, size, unnest(range(n - size + 1)) AS p FROM (
+    SELECT side, id, t, v, n, least(8, n) AS size FROM whole WHERE side = 'b' AND n >= 5
+    UNION ALL SELECT side, id, t, v, n, size FROM whole, (SELECT DISTINCT least(8, n) AS size FROM whole WHERE side = 'b' AND n >= 5) WHERE side = 'd' AND n >= size))
+), usable AS MATERIALIZED (
+  SELECT side, id, size, array_to_string(t, ' ') AS k, list_filter(v, lambda x: x <> '') AS slots, pos FROM spans WHERE 2 * len(list_filter(v, lambda x: x = '')) >= size
+), totals AS (
+  SELECT id, count(*) AS total FROM usable WHERE side = 'b' GROUP BY id
+), met AS (
+  SELECT d.id AS doc_id, b.id AS item_id, d.pos - b.pos AS offs, b.pos AS ipos, b.slots AS bs, d.slots AS ds
+  FROM usable d JOIN usable b ON d.k = b.k AND d.size = b.size WHERE d.side = 'd' AND b.side = 'b'
+), aligned AS (
+  SELECT doc_id, item_id, offs, list(DISTINCT ipos) AS spots, list_distinct(flatten(list(list_zip(bs, ds)))) AS pairs FROM met GROUP BY doc_id, item_id, offs
+), consistent AS (
+  SELECT *, list_transform(pairs, lambda p: p[1]) AS pb, list_transform(pairs, lambda p: p[2]) AS pd FROM aligned
+), joined AS (
+  SELECT doc_id, item_id, len(list_distinct(flatten(list(spots)))) AS matched, bool_or(len(list_filter(pairs, lambda p: p[1] <> p[2])) > 0) AS reparameterised
+  FROM consistent WHERE len(pairs) = len(list_distinct(pb)) AND len(pairs) = len(list_distinct(pd)) GROUP BY doc_id, item_id
+)
+SELECT doc_id, item_id, matched, total, round(matched / total, 4) AS coverage, reparameterised FROM joined JOIN totals ON id = item_id WHERE matched / total >= 0.5
+"""
+from .decontaminate import UNITS  # noqa: E402
+
+SQL["op9_benchmark_decontamination"] = SQL["op9_benchmark_decontamination"].replace("UNITS", ", ".join(f"'{u}'" for u in sorted(UNITS)), 1)
