@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, sharding, simhash, urls, warc
+from . import chat, cotraining, decontaminate, embeddings, langid, mixing, sharding, simhash, urls, warc
 from ._common import read
 from .sql import SQL
 
@@ -23,6 +23,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read(spark, sf_dir, "conversations"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(read(spark, sf_dir, "pages"))
 
@@ -41,6 +45,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_trained_here(read(spark, sf_dir, "documents"))
 
 
+def op8_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 

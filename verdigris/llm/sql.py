@@ -112,6 +112,18 @@ _BREAKS = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|article|sect
 _PLAIN = _decoded(f"regexp_replace(regexp_replace(regexp_replace(payload, '{_HIDDEN}', ' ', 'g'), '{_BREAKS}', chr(10), 'g'), '<[^>]*>', '', 'g')")
 _PLAIN = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 _TITLE = _decoded(r"regexp_extract(payload, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)")
+SQL["op3_embedding_near_dedup"] = """
+WITH clean AS (
+  SELECT DISTINCT vec_id, embedding AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), reps AS MATERIALIZED (
+  SELECT v, min(vec_id) AS rep FROM clean GROUP BY v
+)
+SELECT rep AS vec_id_a, vec_id AS vec_id_b, 1.0::DOUBLE AS cosine FROM clean JOIN reps USING (v) WHERE rep <> vec_id
+UNION ALL
+SELECT a.rep, b.rep, round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 4) FROM reps a JOIN reps b ON a.rep < b.rep AND len(a.v) = len(b.v)
+WHERE list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) >= 0.9
+"""
+
 SQL["op4_warc_derivatives"] = rf"""
 WITH sources AS (
   SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, md5('response|' || page_id || '|' || coalesce(url, '')) AS h
