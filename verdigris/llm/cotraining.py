@@ -1,6 +1,7 @@
 """Quality by co-training of a text view and a metadata view.
 
-The text view sees which words a document has; the metadata view its source,
+The text view sees which words a document has (those that are in several
+documents of the sample); the metadata view its source,
 language and shape (length, lines, letters, symbols, repetition). Both are
 trained on a bounded sample of labelled documents. Over rounds, each labels the
 documents of a bounded unlabelled pool of which it is confident, and these train
@@ -19,18 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WORD, durable, key_hash
 
 #: Bounds on the labelled documents that train and calibrate, and on the pool.
-LABELLED, POOL = 8_000, 6_000
+LABELLED, POOL = 16_000, 6_000
 ROUNDS = 3
 #: Probability from which a view's label of a pooled document is trusted.
 CONFIDENT = 0.97
-#: Buckets that words are hashed to, and documents of a word below which it isn't used.
-BUCKETS, SEEN = 1 << 18, 4
+#: Documents of the samples that a word must be in to be used.
+SEEN = 4
 HELD_OUT = 0.25
 KEEP = 0.5
 MEMO = 400_000
@@ -38,17 +40,22 @@ MEMO = 400_000
 SOURCES, LANGS = 32, 8
 
 
-class WordBuckets(dict):
+class Numbered(dict):
+    """Word -> its number in the vocabulary, -1 if it isn't there; remembered up to a bound."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        super().__init__()
+        self.known = {int(h): i for i, h in enumerate(vocabulary)}
+
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-        self[word] = value = zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+        self[word] = value = self.known.get(word_hash(word), -1)
         return value
 
 
-def words_of(text: str, memo: WordBuckets) -> tuple[np.ndarray, Counter]:
-    counts = Counter(WORD.findall(text.lower()))
-    return np.fromiter(set(map(memo.__getitem__, counts)), np.int32), counts
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
 
 
 def shape(text: str, counts: Counter, source: str | None, lang: str | None) -> np.ndarray:
@@ -94,13 +101,18 @@ def chance(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+#: Features of the text view.
+WIDTH = 6
+
+
 def evidence(words: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """The text view's features: mean, and the worst and best words' log odds."""
+    """The text view's features: the mean log odds of the words, that of the three
+    worst, how far the worst falls below two bounds, and the number below the first."""
     if not len(words):
-        return np.array([1.0, 0.0, 0.0, 0.0, 0.0])
+        return np.array([1.0, 0.0, 0.0, 0.0, 0.0, 0.0])
     o = odds[words]
     worst = np.sort(o)[:3]
-    return np.array([1.0, float(o.mean()), float(worst[0]), float(worst.mean()), float(o.max())])
+    return np.array([1.0, float(o.mean()), float(worst.mean()), max(0.0, -2.0 - float(worst[0])), max(0.0, -3.5 - float(worst[0])), math.log1p(np.count_nonzero(o < -2.0))])
 
 
 def word_odds(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: float) -> np.ndarray:
@@ -111,10 +123,12 @@ def word_odds(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: float) ->
 
 @dataclass
 class Model:
+    #: Hashes of the vocabulary's words, in order, and their log odds.
+    vocabulary: np.ndarray
     odds: np.ndarray
     text: np.ndarray
     meta: np.ndarray
-    #: Calibration of each view (intercept, slope), then weights of intercept and both calibrated logits.
+    #: Calibration of each view (intercept, slope), then weights of intercept, both calibrated logits and the lower of them.
     fit_text: np.ndarray
     fit_meta: np.ndarray
     both: np.ndarray
@@ -122,16 +136,16 @@ class Model:
     def score(self, words: np.ndarray, features: np.ndarray) -> tuple[float, float, float]:
         t = self.fit_text @ np.array([1.0, float(evidence(words, self.odds) @ self.text)])
         m = self.fit_meta @ np.array([1.0, float(features @ self.meta)])
-        return float(chance(t)), float(chance(m)), float(chance(self.both @ np.array([1.0, t, m])))
+        return float(chance(t)), float(chance(m)), float(chance(self.both @ np.array([1.0, t, m, min(t, m)])))
 
 
-def _fit_text(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    good, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
+def _fit_text(docs: list[np.ndarray], y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    good, bad = np.zeros(size), np.zeros(size)
     for words, label in zip(docs, y):
         (good if label else bad)[words] += 1
     n_good, n_bad = float(y.sum()), float(len(y) - y.sum())
     # each document is judged by the others' words
-    x = np.empty((len(docs), 5))
+    x = np.empty((len(docs), WIDTH))
     for i, (words, label) in enumerate(zip(docs, y)):
         if not len(words):
             x[i] = evidence(words, good)
@@ -145,16 +159,22 @@ def _features(rows: DataFrame):
     """Rows of (doc_id, y, text, source, lang) with both views' features."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordBuckets()
         for batch in batches:
             words, shapes = [], []
             for text, source, lang in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                w, counts = words_of(text or "", memo)
-                words.append(np.sort(w))
-                shapes.append(shape(text or "", counts, source, lang))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int32())), pa.array(shapes, pa.list_(pa.float64()))], ["doc_id", "y", "words", "shape"])
+                counts = Counter(WORD.findall(text.lower()))
+                words.append(sorted(map(word_hash, counts)))
+                shapes.append(shape(text, counts, source, lang))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int64())), pa.array(shapes, pa.list_(pa.float64()))], ["doc_id", "y", "words", "shape"])
 
-    return rows.select("doc_id", "y", "text", "source", "lang").mapInArrow(work, "doc_id bigint, y int, words array<int>, shape array<double>")
+    return rows.select("doc_id", "y", "text", "source", "lang").mapInArrow(work, "doc_id bigint, y int, words array<bigint>, shape array<double>")
+
+
+def _numbers(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    if not len(vocabulary):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    return at[vocabulary[at] == hashes]
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model | None:
@@ -172,6 +192,11 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     chosen = F.broadcast(durable(chosen.select("doc_id", "y")))  # no more rows than the two bounds
     sample = docs.where("text IS NOT NULL").join(chosen, "doc_id")
     got = _features(sample).toPandas().drop_duplicates("doc_id")
+    if not len(got):
+        return None
+    every, seen = np.unique(np.concatenate(list(got.words)), return_counts=True)
+    vocabulary = every[seen >= SEEN]
+    got["words"] = [_numbers(vocabulary, w) for w in got.words]
     # held out by a hash of the id, whatever the order of rows
     got["u"] = [int(hashlib.md5(b"held out %d" % i).hexdigest()[:8], 16) / 2**32 for i in got.doc_id]
     got = got.sort_values("doc_id")
@@ -187,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     extra: dict[str, dict[int, float]] = {"text": {}, "meta": {}}  # what each view learned from the other
     for turn in range(rounds + 1):
         own = sorted(extra["text"].items())
-        odds, text = _fit_text(fw + [pw[i] for i, _ in own], np.concatenate([y, [v for _, v in own]]))
+        odds, text = _fit_text(fw + [pw[i] for i, _ in own], np.concatenate([y, [v for _, v in own]]), len(vocabulary))
         own = sorted(extra["meta"].items())
         meta = logistic(np.concatenate([fs, ps[[i for i, _ in own]]]), np.concatenate([y, [v for _, v in own]]))
         zt = lambda ws: np.array([evidence(w, odds) @ text for w in ws])
@@ -205,8 +230,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
         if len(extra["text"]) + len(extra["meta"]) == before:
             break
     lt, lm = (np.c_[np.ones(len(hy)), z] @ f for z, f in ((ht, fit_text), (hm, fit_meta)))
-    both = logistic(np.c_[np.ones(len(hy)), lt, lm], hy, ridge=1e-4)
-    return Model(odds.astype(np.float32), text, meta, fit_text, fit_meta, both)
+    both = logistic(np.c_[np.ones(len(hy)), lt, lm, np.minimum(lt, lm)], hy, ridge=1e-4)
+    return Model(vocabulary, odds, text, meta, fit_text, fit_meta, both)
 
 
 def score(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
@@ -216,11 +241,11 @@ def score(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame
     repeated id are scored like any other. Whole texts are read. Without a model
     the scores are null and everything is kept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.odds, model.text, model.meta, model.fit_text, model.fit_meta, model.both))
+    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.vocabulary, model.odds, model.text, model.meta, model.fit_text, model.fit_meta, model.both))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None if shared.value is None else Model(*shared.value)
-        memo = WordBuckets()
+        memo = None if model is None else Numbered(model.vocabulary)
         for batch in batches:
             out = []
             for text, source, lang in zip(batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3))):
@@ -228,7 +253,9 @@ def score(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame
                     out.append((None, None, None, True))
                     continue
                 text = text.as_py() or ""
-                words, counts = words_of(text, memo)
+                counts = Counter(WORD.findall(text.lower()))
+                words = np.fromiter(map(memo.__getitem__, counts), np.int64, len(counts))
+                words = words[words >= 0]
                 t, m, p = (round(v, 6) for v in model.score(words, shape(text, counts, source, lang)))
                 out.append((t, m, p, p >= keep))
             columns = list(zip(*out)) if out else [[]] * 4
