@@ -12,7 +12,6 @@ Scores are integers (millionths of a nat), so sums don't depend on their order.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,21 +40,24 @@ MEMO = 400_000
 
 @dataclass
 class Model:
+    """``units[0]`` numbers the words, ``units[n]`` the n-grams; ``logp`` has a row
+    of scores by language for each number."""
+
     langs: list[str]
-    words: dict[str, list[int]] = field(default_factory=dict)
-    grams: list[dict[str, list[int]]] = field(default_factory=lambda: [{} for _ in range(LONGEST + 1)])
+    units: list[dict[str, int]] = field(default_factory=lambda: [{} for _ in range(LONGEST + 1)])
+    logp: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.int64))
 
-    def score(self, word: str) -> list[int] | None:
+    def score(self, word: str) -> np.ndarray | None:
         """Scores by language, or None for a word that isn't recognised."""
-        known = self.words.get(word)
+        known = self.units[0].get(word)
         if known is not None:
-            return known
+            return self.logp[known]
         marked = f"<{word}>"
         for n in range(min(LONGEST, len(marked)), 0, -1):
-            table = self.grams[n]
-            hits = [g for g in (table.get(marked[i : i + n]) for i in range(len(marked) - n + 1)) if g is not None]
+            find = self.units[n].get
+            hits = [g for g in [find(marked[i : i + n]) for i in range(len(marked) - n + 1)] if g is not None]
             if hits:
-                return [math.floor(sum(column) / len(hits)) - BACKOFF for column in zip(*hits)]
+                return np.floor(self.logp[hits].sum(axis=0) / len(hits)).astype(np.int64) - BACKOFF
         return None
 
 
@@ -95,9 +97,9 @@ def sample(docs: DataFrame, per_lang: int = TRAIN_DOCS, id_col: str = "doc_id",
 
 
 def counts(labelled: DataFrame, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS) -> DataFrame:
-    """``(n, lang, unit, logp)`` of words (n = 0) and n-grams: the most frequent
-    units of each language, with smoothed log frequencies in millionths in every
-    language, as an array in the order of languages."""
+    """``(n, unit, logp)`` of words (n = 0) and n-grams: the most frequent units of
+    each language, with smoothed log frequencies in millionths in every language,
+    as (lang, logp) pairs in the order of languages."""
     words = (
         labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("unit"))
         .groupBy("lang", "unit").agg(F.count("*").alias("c"))
@@ -113,22 +115,25 @@ def counts(labelled: DataFrame, top_words: int = TOP_WORDS, top_grams: int = TOP
     top = units.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("n") == 0, top_words).otherwise(top_grams))
     kept = top.select("n", "unit").distinct()
     size = kept.groupBy("n").agg(F.count("*").alias("size"))
-    every = kept.join(totals, "n").join(size, "n").join(units, ["n", "lang", "unit"], "left")
+    # every language has a total for every length, if only 0
+    grid = size.crossJoin(words.select("lang").distinct()).join(totals, ["n", "lang"], "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    every = kept.join(grid, "n").join(units, ["n", "lang", "unit"], "left")
     logp = F.floor(F.log((F.coalesce("c", F.lit(0)) + 0.5) / (F.col("total") + 0.5 * F.col("size"))) * 1e6 + 0.5).cast("bigint")
-    return every.select("n", "lang", "unit", logp.alias("logp"))
+    return every.groupBy("n", "unit").agg(F.sort_array(F.collect_list(F.struct("lang", logp.alias("logp")))).alias("logp"))
 
 
 def train(labelled: DataFrame, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS) -> Model:
     """A model of ``(lang, text)`` rows. Its size is bounded by the two parameters
-    and the number of languages, whatever the sample; no rows give a model
-    without languages."""
-    rows = counts(labelled, top_words, top_grams).toPandas()
-    langs = sorted(rows.lang.unique())
-    model = Model(langs)
-    at = {lang: i for i, lang in enumerate(langs)}
-    for n, lang, unit, logp in zip(rows.n, rows.lang, rows.unit, rows.logp):
-        table = model.words if n == 0 else model.grams[n]
-        table.setdefault(unit, [0] * len(langs))[at[lang]] = int(logp)
+    and the number of languages, whatever the sample. A language without a word takes
+    no part; no words at all give a model without languages."""
+    table = durable(counts(labelled, top_words, top_grams))
+    first = table.select("logp.lang").first()
+    model = Model([] if first is None else first[0])
+    rows = table.select("n", "unit", "logp.logp").orderBy("n", "unit").toArrow()
+    for i, (n, unit) in enumerate(zip(rows.column("n").to_pylist(), rows.column("unit").to_pylist())):
+        model.units[n][unit] = i
+    if rows.num_rows:
+        model.logp = rows.column("logp").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
     return model
 
 
@@ -142,7 +147,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     any other. Whole texts are read.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.langs, model.words, model.grams))
+    shared = spark.sparkContext.broadcast((model.langs, model.units, model.logp))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
