@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris.sources.scratch import durable, release, shared_dir
+
 # Worker functions travel by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
@@ -20,59 +20,31 @@ WORD = re.compile(r"[^\W_]+")
 WORD_RE2 = r"[\p{L}\p{N}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a fresh
-    temporary one where the session names none (tests on one machine)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="verdigris-")
-    sc.setCheckpointDir(made)
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def durable(df: DataFrame, *partition_by: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
-
-    This cuts lineage in a way that survives the loss of executors, and gives
-    the optimizer true sizes for the joins that follow.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/verdigris/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table that ``durable`` wrote for this application. Call it
-    once the results that read them have been stored."""
-    path = f"{shared_dir(spark)}/verdigris/{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def key_hash(*columns: Column) -> Column:
     """60 uniform bits of MD5 over the columns as text, joined by '|'."""
     text = F.concat_ws("|", *[c.cast("string") for c in columns])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-KEY_HASH_SQL = "('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 15))::BIGINT"
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def keep_columns(result: DataFrame, like: DataFrame) -> DataFrame:
-    return result.select(*[F.col(f"`{c}`") for c in like.columns])
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` less the rows whose id is in ``gone`` (one column of ids). The
+    columns of ``docs`` may have any names; rows with a null id stay. ``gone`` is
+    written first, so that Spark broadcasts it only if it is small in fact."""
+    name = fresh(docs, "__gone")
+    ids = durable(gone.toDF(name).distinct())
+    return docs.join(ids, F.col(f"`{id_col}`").cast("bigint") == F.col(name), "left_anti")
+
+
+__all__ = ["WORD", "WORD_RE2", "durable", "fresh", "key_hash", "read", "release", "shared_dir", "without"]

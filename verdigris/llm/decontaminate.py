@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable
+from ._common import durable, without
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -228,5 +228,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that leak an item; rows with a null id stay."""
-    gone = durable(leaks(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("__leaky")).distinct())
-    return docs.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col("__leaky"), "left_anti")
+    return without(docs, leaks(docs, benchmark, id_col, **options).select("doc_id"), id_col)

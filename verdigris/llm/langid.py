@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, durable
+from ._common import WORD, durable, without
 
 #: Bound on the labelled documents that train each language.
 TRAIN_DOCS = 400
@@ -195,5 +195,4 @@ def keep_identified(docs: DataFrame, model: Model | None = None, id_col: str = "
     id go."""
     model = model or train(durable(sample(docs)))
     gone = identify(docs, model, id_col, text_col).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("NOT kept AND doc_id IS NOT NULL")
-    gone = durable(gone.select(F.col("doc_id").alias("__gone")))
-    return docs.where(F.col(f"`{id_col}`").isNotNull()).join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col("__gone"), "left_anti")
+    return without(docs.where(F.col(f"`{id_col}`").isNotNull()), gone.select("doc_id"), id_col)

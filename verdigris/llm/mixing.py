@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, key_hash
+from ._common import durable, fresh, key_hash
 
 BITS, DIGIT = 60, 12
 #: Nested budgets of the query, as shares of the corpus's tokens.
@@ -130,7 +130,8 @@ def keep_mixed(docs: DataFrame, share: float = BUDGETS[-1], weights: dict[str, f
     """``docs`` that one budget keeps; rows with a null id go."""
     rows = durable(keyed(docs, id_col, source_col, text_col))
     wanted = durable(budgets(rows.groupBy("source").agg(F.sum("tokens").alias("total")), (share,), weights, power))
-    cut = durable(thresholds(rows, wanted)).select(F.col("source").alias("__source"), F.col("below").alias("__below"))
+    named, below = fresh(docs, "__source"), fresh(docs, "__below")
+    cut = durable(thresholds(rows, wanted)).select(F.col("source").alias(named), F.col("below").alias(below))
     source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
-    fits = (source == F.col("__source")) & (key_hash(F.col(f"`{id_col}`")) < F.col("__below"))
+    fits = (source == F.col(named)) & (key_hash(F.col(f"`{id_col}`")) < F.col(below))
     return docs.where(F.col(f"`{id_col}`").isNotNull()).join(cut, fits, "left_semi")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, key_hash
+from ._common import durable, fresh, key_hash
 
 #: Bytes of text that a shard may hold.
 TARGET = 16 << 20
@@ -96,8 +96,10 @@ def shard(docs: DataFrame, target: int = TARGET, id_col: str = "doc_id", lang_co
 
 
 def add_shards(docs: DataFrame, target: int = TARGET, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text", name: str = "shard") -> DataFrame:
-    """``docs`` with a column ``name``. Rows that repeat an id with other metadata
+    """``docs`` with a column ``name``, in place of one that it may have. Rows that repeat an id with other metadata
     may lie in several leaves; all get the smallest of these. Rows with a null id get null."""
-    leaves = durable(shard(docs, target, id_col, lang_col, source_col, text_col).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__doc")).agg(F.min("leaf").alias("__leaf")))
-    joined = docs.join(leaves, F.col(f"`{id_col}`").cast("bigint") == F.col("__doc"), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__leaf").alias(name))
+    doc, leaf = fresh(docs, "__doc"), fresh(docs, "__leaf")
+    leaves = shard(docs, target, id_col, lang_col, source_col, text_col).where("doc_id IS NOT NULL")
+    leaves = durable(leaves.groupBy(F.col("doc_id").alias(doc)).agg(F.min("leaf").alias(leaf)))
+    joined = docs.join(leaves, F.col(f"`{id_col}`").cast("bigint") == F.col(doc), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()], F.col(leaf).alias(name))
