@@ -11,24 +11,25 @@ WITH words AS MATERIALIZED (
   SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{WORD_RE2}'))) AS w
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), hashed AS (
-  SELECT doc_id, ('0x' || substr(md5(w), 1, 16))::UBIGINT AS h FROM words
+  SELECT doc_id, ('0x' || substr(md5(w), 1, 16))::UBIGINT AS h, ('0x' || substr(md5(w), 17, 16))::UBIGINT AS g FROM words
 ), sizes AS (
   SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id
 ), ones AS (
-  SELECT doc_id, bit, count(*) FILTER (WHERE (h >> bit) & 1 = 1) AS c
+  SELECT doc_id, bit, count(*) FILTER (WHERE (h >> bit) & 1 = 1) AS c, count(*) FILTER (WHERE (g >> bit) & 1 = 1) AS e
   FROM hashed, (SELECT unnest(range(64))::UBIGINT AS bit) GROUP BY doc_id, bit
 ), prints AS MATERIALIZED (
-  SELECT doc_id, n, bit_or(CASE WHEN 2 * c > n THEN 1::UBIGINT << bit ELSE 0::UBIGINT END) AS fp
+  SELECT doc_id, n, bit_or(CASE WHEN 2 * c > n THEN 1::UBIGINT << bit ELSE 0::UBIGINT END) AS fp,
+    bit_or(CASE WHEN 2 * e > n THEN 1::UBIGINT << bit ELSE 0::UBIGINT END) AS chk
   FROM ones JOIN sizes USING (doc_id) GROUP BY doc_id, n
 ), reps AS MATERIALIZED (
-  SELECT fp, n, min(doc_id) AS rep FROM prints GROUP BY fp, n
+  SELECT fp, chk, n, min(doc_id) AS rep FROM prints GROUP BY fp, chk, n
 )
 SELECT rep AS doc_id_a, doc_id AS doc_id_b, 0::INTEGER AS hamming
-FROM prints JOIN reps USING (fp, n) WHERE doc_id <> rep
+FROM prints JOIN reps USING (fp, chk, n) WHERE doc_id <> rep
 UNION ALL
 SELECT least(a.rep, b.rep), greatest(a.rep, b.rep), bit_count(xor(a.fp, b.fp))::INTEGER
 FROM reps a JOIN reps b ON a.rep < b.rep
-WHERE bit_count(xor(a.fp, b.fp)) <= {10} AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+WHERE bit_count(xor(a.fp, b.fp)) <= 10 AND bit_count(xor(a.chk, b.chk)) <= 16 AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
 """
 
 SQL["op1_source_mixing"] = r"""
