@@ -155,8 +155,9 @@ def _fit_text(docs: list[np.ndarray], y: np.ndarray, size: int) -> tuple[np.ndar
     return word_odds(good, bad, n_good, n_bad), logistic(x, y)
 
 
-def _features(rows: DataFrame):
-    """Rows of (doc_id, y, text, source, lang) with both views' features."""
+def _hashed(rows: DataFrame) -> DataFrame:
+    """Rows of (doc_id, y, text, source, lang) with their words' hashes and the
+    metadata view's features instead of text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,6 +171,18 @@ def _features(rows: DataFrame):
     return rows.select("doc_id", "y", "text", "source", "lang").mapInArrow(work, "doc_id bigint, y int, words array<bigint>, shape array<double>")
 
 
+def _numbered(hashed: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """``hashed`` with its words as numbers in the vocabulary, others dropped."""
+    shared = hashed.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [_numbers(shared.value, np.array(w.as_py(), np.int64)).astype(np.int32) for w in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int32())), batch.column(3)], ["doc_id", "y", "words", "shape"])
+
+    return hashed.mapInArrow(work, "doc_id bigint, y int, words array<int>, shape array<double>")
+
+
 def _numbers(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     if not len(vocabulary):
         return np.zeros(0, np.int64)
@@ -182,7 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
     The samples are the rows with the smallest hashes of their ids, so their size
     is bounded and the choice doesn't depend on order. Null labels, ids and texts
-    are not used; a document labelled more than once counts as 0 if any label is.
+    are not used; a document labelled more than once counts as 0 if any label is, and
+    of rows that repeat an id the one whose words' hashes sort first is used.
     None if the sample lacks either class.
     """
     marks = labels.where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("y").cast("int")).alias("y"))
@@ -191,12 +205,13 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     chosen = ids.where("y IS NOT NULL").orderBy("h", "doc_id").limit(labelled).unionByName(ids.where("y IS NULL").orderBy("h", "doc_id").limit(pool))
     chosen = F.broadcast(durable(chosen.select("doc_id", "y")))  # no more rows than the two bounds
     sample = docs.where("text IS NOT NULL").join(chosen, "doc_id")
-    got = _features(sample).toPandas().drop_duplicates("doc_id")
+    hashed = durable(_hashed(sample).groupBy("doc_id").agg(F.min(F.struct("words", "shape", "y")).alias("r")).select("doc_id", "r.y", "r.words", "r.shape"))
+    seen = hashed.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= SEEN)
+    vocabulary = np.sort(seen.select("w").toArrow().column(0).to_numpy())
+    # only numbers of words come to the driver: the sample's bound is that of its memory
+    got = _numbered(hashed, vocabulary).toPandas()
     if not len(got):
         return None
-    every, seen = np.unique(np.concatenate(list(got.words)), return_counts=True)
-    vocabulary = every[seen >= SEEN]
-    got["words"] = [_numbers(vocabulary, w) for w in got.words]
     # held out by a hash of the id, whatever the order of rows
     got["u"] = [int(hashlib.md5(b"held out %d" % i).hexdigest()[:8], 16) / 2**32 for i in got.doc_id]
     got = got.sort_values("doc_id")
