@@ -107,4 +107,4 @@ def derivatives(pages: DataFrame, **options) -> DataFrame:
 
 def write(records: DataFrame, path: str) -> None:
     """Write the records as WARC files, one a partition (text, uncompressed)."""
-    records.select(F.concat("header", "block", F.lit("\r\n\r\n")).alias("value")).write.option("lineSep", "").text(path)
+    records.select(F.concat("header", "block", F.lit("\r\n")).alias("value")).write.option("lineSep", "\r\n").text(path)
