@@ -105,10 +105,11 @@ def counts(labelled: DataFrame, top_words: int = TOP_WORDS, top_grams: int = TOP
         .groupBy("lang", "unit").agg(F.count("*").alias("c"))
     )
     marked = words.select("lang", F.concat(F.lit("<"), "unit", F.lit(">")).alias("m"), "c")
-    grams = marked.select(
-        "lang", "c", "m", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("m")))).alias("n")
-    ).select("lang", "c", "n", "m", F.explode(F.expr("sequence(1, length(m) - n + 1)")).alias("i"))
-    grams = grams.groupBy("n", "lang", F.expr("substring(m, i, n)").alias("unit")).agg(F.sum("c").alias("c"))
+    # slices of an array of characters: substrings of a very long word would take
+    # time in proportion to its length each
+    sliced = F.expr("transform(sequence(1, length(m) - n + 1), i -> array_join(slice(chars, i, n), ''))")
+    grams = marked.select("lang", "c", "m", F.split("m", "").alias("chars"), F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("m")))).alias("n"))
+    grams = grams.select("lang", "c", "n", F.explode(sliced).alias("unit")).groupBy("n", "lang", "unit").agg(F.sum("c").alias("c"))
     units = words.select(F.lit(0).alias("n"), "lang", "unit", "c").unionByName(grams)
     totals = units.groupBy("n", "lang").agg(F.sum("c").alias("total"))
     order = Window.partitionBy("n", "lang").orderBy(F.desc("c"), "unit")
