@@ -200,7 +200,10 @@ class Analyzer:
     def terms(self, df: DataFrame, text: str, *keep: str) -> DataFrame:
         """``keep`` columns with ``pos``, ``term`` and the document's length
         ``dl``, a row a token; positions count from 0 after stopping."""
-        rows = df.select(*keep, self.tokens(F.col(text)).alias("__tokens")).select(*keep, F.size("__tokens").cast("bigint").alias("dl"), F.posexplode("__tokens").alias("pos", "term"))
+        # outer, since for an inner one Spark would tokenize a second time, to
+        # filter out texts without tokens beforehand
+        rows = df.select(*keep, self.tokens(F.col(text)).alias("__tokens"))
+        rows = rows.select(*keep, F.size("__tokens").cast("bigint").alias("dl"), F.posexplode_outer("__tokens").alias("pos", "term")).where("pos IS NOT NULL")
         # a projection a step, lest the steps' expressions multiply
         for step in self.stemmer.steps():
             rows = rows.withColumn("term", step(F.col("term")))

@@ -87,12 +87,17 @@ class SearchIndex:
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: Analyzer | None = None, slug_col: str | None = None) -> SearchIndex:
     """Index every row of ``df``; ids must be unique and are never reused.
 
-    A null text is an empty document: it has statistics and no postings.
+    A null text is an empty document: it has statistics and no postings. Tokens
+    move once, by term and document, so that no term's postings gather in one
+    place; they are sorted there and grouped as they stream by, for which the
+    session's ``replaceHashWithSortAgg`` is set (it changes no result).
     """
     analyzer = analyzer or Analyzer()
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(slug_col or id_col).cast("string").alias("slug"), F.col(text_col).alias("__text"))
     terms = analyzer.terms(docs, "__text", "doc_id")
-    postings = terms.groupBy("term", "doc_id").agg(
+    df.sparkSession.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")
+    ordered = terms.repartition("term", "doc_id").sortWithinPartitions("term", "doc_id", "pos")
+    postings = ordered.groupBy("term", "doc_id").agg(
         F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions")
     )
     stats = docs.select("doc_id", "slug", F.size(analyzer.tokens(F.col("__text"))).cast("bigint").alias("num_terms"))

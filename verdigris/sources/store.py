@@ -57,7 +57,7 @@ def save(index: SearchIndex, path: str, partitions: int | None = None) -> str:
     spark = index.postings.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     at = f"{path}/{version}"
-    by_term = index.postings.repartition(*([partitions] if partitions else []), "term").sortWithinPartitions("term", "doc_id")
+    by_term = index.postings.repartitionByRange(*([partitions] if partitions else []), "term", "doc_id").sortWithinPartitions("term", "doc_id")
     by_term.select("term", "doc_id", "tf", "dl", "positions").write.parquet(f"{at}/postings")
     index.doc_stats.select("doc_id", "slug", "num_terms").write.parquet(f"{at}/doc_stats")
     stored = SearchIndex(spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/doc_stats"), index.analyzer)
