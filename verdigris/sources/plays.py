@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: What opens a section. The chorus marker, followed by a line start that can't
 #: be there, never matches; it is left out, with the same result.
-MARKER = r"ACT ([IV]+)|SCENE ([IVX1-9]+)\.?\s+|INDUCTION\.|PROLOGUE\.\n|EPILOGUE\.\n"
+MARKER = r"INDUCTION\.|(?:PRO|EPI)LOGUE\.\n|SCENE ([1-9VXI]+)\.?\s+|ACT ([VI]+)"
 OPEN, SHUT = "\x01", "\x02"
 STRIP = r"^\s+|\s+$"
 
