@@ -63,6 +63,12 @@ def test_statistics(index):
     assert math.isclose(index.corpus.first().avdl, 19 / 3)
 
 
+def test_one_list(index):
+    assert [(r.doc_id, r.tf, r.positions) for r in index.inverted_list("CACTUS").collect()] == [(2, 1, [2]), (3, 1, [2])]
+    assert [r.doc_id for r in index.inverted_list("CACTUS", 3).collect()] == [3]
+    assert (index.term_freq("FIG", 1), index.term_freq("FIG", 2), index.contains("FIG", 1), index.contains("ZZZ", 1)) == (1, 0, True, False)
+
+
 def test_engine_counts_through_adds_and_removals(spark, tmp_path):
     engine = SearchEngine(spark, tmp_path / "index.json")
     assert (engine.num_docs, engine.num_terms) == (0, 0)

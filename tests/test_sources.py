@@ -63,6 +63,22 @@ def test_json_shape(spark, tmp_path):
         store.import_json(spark, path).num_docs  # noqa: B018
 
 
+def test_lists_as_json(spark):
+    index = build_index(spark.createDataFrame([(7, "b a b"), (8, "b")], "doc_id bigint, text string"))
+    rows = store.lists_to_json(index)
+    assert dict(tuple(r) for r in rows.collect())["b"] == '{"term":"b","posting_list":[{"doc_id":7,"postings":[0,2]},{"doc_id":8,"postings":[0]}]}'
+    assert {(r.term, r.doc_id, r.tf) for r in store.lists_from_json(rows).collect()} == {(r.term, r.doc_id, r.tf) for r in index.postings.collect()}
+
+
+def test_command(spark, tmp_path, monkeypatch):
+    (tmp_path / "book.txt").write_text("THE SONNETS list THE SONNETS\n 1\n\nFrom THE END\n\nFIRST PLAY\nACT I\nSCENE I. a b\n*** END OF THE PROJECT GUTENBERG EBOOK x")
+    (tmp_path / "titles.txt").write_text("FIRST PLAY\n")
+    monkeypatch.setattr("sys.argv", ["plays", str(tmp_path / "book.txt"), str(tmp_path / "titles.txt"), str(tmp_path / "out")])
+    plays.main()
+    assert spark.read.parquet(str(tmp_path / "out" / "plays")).first().text == "a b\n"
+    assert spark.read.parquet(str(tmp_path / "out" / "sonnets")).count() == 1
+
+
 def test_sections(spark):
     got = plays.sections(spark.createDataFrame([("p", PLAY)], "title string, text string")).orderBy("pos").collect()
     assert [(r.act, r.name, r.text) for r in got] == [("I", "I", "a foo\nCHORUS.\nbar "), ("II", "PROLOGUE", "zz "), ("II", "2", "qq "), ("II", "EPILOGUE", "end")]

@@ -74,6 +74,21 @@ class SearchIndex:
         known = self.doc_stats.select("slug", F.lit(True).alias("__known")).distinct()
         return slugs.join(known, "slug", "left").select("slug", F.coalesce("__known", F.lit(False)).alias("present"))
 
+    def inverted_list(self, term: str, first_doc: int | None = None) -> DataFrame:
+        """A term's postings in the order of documents, from ``first_doc`` on."""
+        rows = self.postings.where(F.col("term") == term)
+        if first_doc is not None:
+            rows = rows.where(F.col("doc_id") >= first_doc)
+        return rows.select("doc_id", "tf", "positions").orderBy("doc_id")
+
+    def term_freq(self, term: str, doc_id: int) -> int:
+        """Occurrences of a term in a document, 0 if there are none."""
+        row = self.postings.where((F.col("term") == term) & (F.col("doc_id") == doc_id)).agg(F.sum("tf")).first()
+        return row[0] or 0
+
+    def contains(self, term: str, doc_id: int) -> bool:
+        return self.term_freq(term, doc_id) > 0
+
     def persist(self) -> SearchIndex:
         kept = SearchIndex(self.postings.persist(), self.doc_stats.persist(), self.analyzer)
         kept.stored_term_stats, kept.stored_corpus = kept.term_stats.persist(), kept.corpus.persist()

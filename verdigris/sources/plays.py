@@ -6,7 +6,9 @@ one text, so many books are split side by side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import argparse
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What opens a section. The chorus marker, followed by a line start that can't
@@ -102,3 +104,21 @@ def paths(scenes: DataFrame) -> DataFrame:
 def write_scenes(scenes: DataFrame, path: str) -> None:
     """Parquet, a folder a title."""
     paths(scenes).write.partitionBy("folder").mode("overwrite").parquet(path)
+
+
+def main() -> None:
+    """python -m verdigris.sources.plays BOOK TITLES OUT: split a book, whose plays'
+    titles TITLES lists line by line, into tables below OUT."""
+    parser = argparse.ArgumentParser(description=main.__doc__)
+    for name in ("book", "titles", "out"):
+        parser.add_argument(name)
+    args = parser.parse_args()
+    spark = SparkSession.builder.getOrCreate()
+    book = split_book(spark.read.text(args.book, wholetext=True).withColumnRenamed("value", "text"))
+    lines = spark.read.text(args.titles, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("idx", "title")).where("title <> ''")
+    parse_sonnets(book).write.mode("errorifexists").parquet(f"{args.out}/sonnets")
+    write_scenes(parse_plays(slice_plays(book, lines)), f"{args.out}/plays")
+
+
+if __name__ == "__main__":
+    main()

@@ -106,6 +106,19 @@ def check_json_path(path: str) -> str:
     return str(path)
 
 
+def lists_to_json(index: SearchIndex) -> DataFrame:
+    """``(term, value)``: each term's list as a JSON object of its own, a row a term."""
+    lists = index.postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.col("positions").alias("postings")))).alias("posting_list"))
+    return lists.select("term", F.to_json(F.struct("term", "posting_list")).alias("value"))
+
+
+def lists_from_json(rows: DataFrame, value: str = "value") -> DataFrame:
+    """``(term, doc_id, tf, positions)`` from rows of such objects."""
+    parsed = rows.select(F.from_json(value, "term string, posting_list array<struct<doc_id:bigint,postings:array<int>>>").alias("l"))
+    flat = parsed.select("l.term", F.inline("l.posting_list"))
+    return flat.select("term", "doc_id", F.size("postings").cast("bigint").alias("tf"), F.col("postings").alias("positions"))
+
+
 def to_json(index: SearchIndex) -> DataFrame:
     """One row, one column ``value``: the whole index as a JSON object. For
     exchange of small indexes; the native store is the scalable one."""
@@ -137,4 +150,4 @@ def import_json(spark: SparkSession, path: str, analyzer: Analyzer | None = None
     return from_json(spark.read.schema(JSON_INDEX).option("multiLine", True).option("mode", "FAILFAST").json(path), analyzer)
 
 
-__all__ = ["DOC_STATS", "POSTINGS", "AnalyzerMismatch", "check_json_path", "export_json", "from_json", "import_json", "load", "save", "to_json", "vacuum"]
+__all__ = ["DOC_STATS", "POSTINGS", "AnalyzerMismatch", "check_json_path", "export_json", "from_json", "import_json", "lists_from_json", "lists_to_json", "load", "save", "to_json", "vacuum"]
