@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from llm_data import make_words, sentence
 
@@ -48,6 +49,35 @@ def test_recall_near_the_threshold(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("count", [1, 500, 10_000, 500_000, 2_000_000, 10**9])
+def test_modelled_recall_at_every_size(count):
+    passes, window = E.plan(count)
+    assert passes >= E.PASSES and E.WINDOW <= window <= E.WIDEST
+    assert 1 - (1 - E.linked(count, window, E.THRESHOLD)) ** passes >= 0.9
+    for fixed in (E.plan(count, window=2), E.plan(count, passes=6)):
+        assert 1 - (1 - E.linked(count, fixed[1], E.THRESHOLD)) ** fixed[0] >= 0.9
+
+
+def test_recall_of_isolated_pairs_among_many():
+    """The passes as they run in one task, without Spark."""
+    rng = np.random.default_rng(4)
+    n, pairs = 100_000, 2_000
+    x = rng.standard_normal((n, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((pairs, 16))
+    side -= (side * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x[-pairs:] = 0.902 * x[:pairs] + np.sqrt(1 - 0.902**2) * side
+    rows = pd.DataFrame({"vec_id": np.arange(n), "v": list(x.astype(np.float32)), "part": 0})
+    passes, window = E.plan(n)
+    found = set()
+    for number in range(passes):
+        (keyed,) = E._keys(number, E.BITS)(iter([rows]))
+        for out in E._run(window, 0.9)(iter([keyed.sort_values(["key", "vec_id"])])):
+            found.update(zip(out.a[out.border == -1], out.b[out.border == -1]))
+    assert sum((i, n - pairs + i) in found for i in range(pairs)) >= 0.9 * pairs
+
+
 def test_embeddings_hostile(spark):
     one = [1.0, 2.0, 3.0]
     rows = [(1, one), (1, one), (2, one), (3, [2.0, 4.0, 6.0]), (None, one), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (7, [1.0, None, 3.0]), (8, [float("nan"), 1.0, 1.0]),

@@ -6,10 +6,15 @@ lexicographically by the concatenated signs and compares each with the next
 the spot. The union of the passes' pairs gives connected groups. As groups of
 copies may be larger than any window, all pairs inside a group are then compared
 exactly, so the window bounds work and not the number of partners.
+
+Of n spread vectors a pass links an isolated pair if the first log2(n / window)
+of its signs agree. The passes and the window follow from n, so that this holds
+for at least ``RECALL`` of the pairs at the threshold, however large the table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +26,11 @@ from ._common import durable
 from .graph import components
 
 THRESHOLD = 0.9
+#: The fewest passes and the smallest window, which do for small tables.
 PASSES, BITS, WINDOW = 12, 48, 32
+#: Modelled share of isolated pairs at the threshold that the passes link, the
+#: widest window, and what sorting a vector costs in comparisons with a neighbour.
+RECALL, WIDEST, SORTING = 0.95, 1_024, 1_024
 #: Vectors in a sorted run, and in a side of a tile of a group.
 RUN, TILE = 50_000, 2_048
 
@@ -36,6 +45,32 @@ def clean(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine).distinct()
 
 
+def linked(count: int, window: int, threshold: float) -> float:
+    """Modelled chance that one pass links an isolated pair at the threshold."""
+    agree = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    return agree ** max(0.0, math.log2(max(1, count) / window))
+
+
+def plan(count: int, threshold: float = THRESHOLD, passes: int | None = None, window: int | None = None) -> tuple[int, int]:
+    """Passes and window for ``count`` vectors: of the windows whose passes reach
+    ``RECALL``, the one with the least work. What is given stays."""
+    if passes is not None and window is not None:
+        return passes, window
+    best = None
+    size = window or WINDOW
+    while True:
+        chance = linked(count, size, threshold)
+        need = PASSES if chance >= 1 else max(PASSES, math.ceil(math.log(1 - RECALL) / math.log1p(-chance)))
+        if passes is None:
+            if best is None or need * (SORTING + size) < best[0] * (SORTING + best[1]):
+                best = need, size
+        elif need <= passes or size >= count:
+            return passes, size
+        if window is not None or (passes is None and size >= WIDEST):
+            return best
+        size *= 2
+
+
 def planes(dim: int, number: int, bits: int) -> np.ndarray:
     return np.random.default_rng([number, dim]).standard_normal((dim, bits)).astype(np.float32)
 
@@ -65,13 +100,17 @@ def _keys(number: int, bits: int):
 def _near(x: np.ndarray, ids: np.ndarray, window: int, threshold: float, split: int | None = None) -> pd.DataFrame:
     """Pairs at most ``window`` apart; with ``split``, only those across it."""
     found = []
-    for d in range(1, min(window, len(x) - 1) + 1):
-        lo, hi = (0, len(x) - d) if split is None else (max(0, split - d), min(split, len(x) - d))
-        if hi <= lo:
-            continue
-        cosine = np.einsum("ij,ij->i", x[lo:hi], x[lo + d : hi + d])
-        at = np.flatnonzero(cosine >= threshold)
-        found.append((ids[lo + at], ids[lo + at + d], cosine[at]))
+    step = max(256, min(window, 1_024))
+    first, last = (0, len(x)) if split is None else (max(0, split - window), split)
+    for i in range(first, last, step):
+        rows = min(i + step, last)
+        ahead = i if split is None else split
+        cosine = x[i:rows] @ x[ahead : rows + window].T
+        r, c = np.nonzero(cosine >= threshold)
+        apart = ahead + c - i - r
+        fit = (apart >= 1) & (apart <= window)
+        r, c = r[fit], c[fit]
+        found.append((ids[i + r], ids[ahead + c], cosine[r, c]))
     a, b, c = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": c.astype(np.float64)})
 
@@ -123,13 +162,14 @@ def _tile(threshold: float):
     return work
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, passes: int = PASSES,
-                    window: int = WINDOW, bits: int = BITS, run: int = RUN, tile: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, passes: int | None = None,
+                    window: int | None = None, bits: int = BITS, run: int = RUN, tile: int = TILE) -> DataFrame:
     """``(vec_id_a, vec_id_b, cosine)`` with ``vec_id_a < vec_id_b``.
 
     Of equal vectors the smallest id stands for the others, each of which is
     paired with it at cosine 1; among the representatives every pair found to
-    reach the threshold is listed, without a cap. Vectors of different lengths
+    reach the threshold is listed, without a cap. Passes and window that aren't
+    given follow from the number of representatives (``plan``). Vectors of different lengths
     are never near. Rows that ``clean`` leaves out have no pairs. An empty table
     gives none.
     """
@@ -138,6 +178,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     stars = groups.select(F.col("vec_id").alias("vec_id_a"), F.explode("ids").alias("vec_id_b"), F.lit(1.0).alias("cosine")).where("vec_id_a <> vec_id_b")
     unique = groups.select("vec_id", "v")
     count = unique.count()
+    passes, window = plan(count, threshold, passes, window)
     runs = max(1, -(-count // run))
     unions = None
     for number in range(passes):
