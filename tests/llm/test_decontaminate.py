@@ -49,6 +49,13 @@ def test_names_are_slots(spark):
     assert find(spark, [(1, mixed)], [item(a)], coverage=0.95).count() == 0
 
 
+def test_items_without_a_usable_window_are_found_verbatim(spark):
+    items = [(1, "What is 12 + 7 * 3 - 4 / 2 + 9?"), (2, "Compute 48 * 17 + 365 - 12 / 4 + 9 * 8."), (3, "Name three primes."), (4, "Add " + " + ".join(map(str, range(100, 180))) + ".")]
+    docs = [(10 + i, PADDING + text.upper() + " And more follows.") for i, text in items] + [(1, PADDING + "What is 12 + 7 * 3 - 4 / 2 + 8?"), (2, "Name four primes.")]
+    got = {(r.doc_id, r.item_id, r.coverage, r.reparameterised) for r in find(spark, docs, items).collect()}
+    assert got == {(10 + i, i, 1.0, False) for i, _ in items}
+
+
 def brute(docs, items, coverage=D.COVERAGE):
     memo = D.Tokens()
     rows = lambda pairs: {i: D.template(t, memo) for i, t in pairs if i is not None and t}

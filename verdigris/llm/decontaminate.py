@@ -10,6 +10,9 @@ by type: "3 ... 3" may become "7 ... 7" but not "7 ... 8". A document leaks an
 item if windows at consistent alignments cover at least ``COVERAGE`` of the
 item's windows.
 
+An item without a usable window (slot-heavy, or shorter than ``SHORTEST``)
+is searched as a whole, each of its tokens literal, so that copies are found.
+
 Documents' windows pass a bitmap of the benchmark's hashes before they leave
 their task, so the join sees few of them; the bitmap's size is a parameter and
 doesn't grow with either side.
@@ -30,7 +33,7 @@ from ._common import durable, without
 
 WINDOW = 8
 COVERAGE = 0.5
-#: Items with fewer tokens than this are too short to be evidence and are not searched.
+#: Items with fewer tokens than this are too short for templates and searched verbatim.
 SHORTEST = 5
 #: log2 of the bits of the bitmap (here 2 MiB).
 BITMAP = 24
@@ -83,9 +86,25 @@ class Tokens(dict):
 _SLOT_HASH = np.array([xxhash.xxh3_64_intdigest(x) for x in ("\0NUM", "\0UNIT", "\0NAME")], np.uint64)
 
 
+#: How windows are compared: by template, with names as literals, with all tokens as literals.
+TEMPLATE, FOLDED, VERBATIM = 0, 1, 2
+
+
 def template(text: str, memo: Tokens) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Tokens without sentence ends, their hashes, and their slot type: 0 number,
     1 unit, 2 name, -1 literal."""
+    tokens, plain, slot = literals(text, memo)
+    return tokens, np.where(slot >= 0, _SLOT_HASH[slot], plain), slot
+
+
+def reading(kind: int, plain: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and slot types of the tokens as ``kind`` compares them."""
+    slot = np.where(slot > (2, 1, -1)[kind], np.int8(-1), slot)
+    return np.where(slot >= 0, _SLOT_HASH[slot], plain), slot
+
+
+def literals(text: str, memo: Tokens) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As ``template``, with every token's own hash."""
     tokens = TOKEN.findall(text)
     rows = np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens))
     kind = memo.kind[rows]
@@ -94,7 +113,7 @@ def template(text: str, memo: Tokens) -> tuple[list[str], np.ndarray, np.ndarray
     slot[memo.capital[rows] & (before != _END)] = 2
     slot[memo.unit[rows] & (before == _NUM)] = 1
     slot[kind == _NUM] = 0
-    hashes = np.where(slot >= 0, _SLOT_HASH[slot], memo.hash[rows])
+    hashes = memo.hash[rows]
     inside = kind != _END
     if not inside.all():
         tokens = [tokens[i] for i in np.flatnonzero(inside)]
@@ -108,7 +127,7 @@ def windows(hashes: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     total = np.zeros(count, np.uint64)
     for k in range(size):
-        total += hashes[k : k + count] * _M[k]
+        total += hashes[k : k + count] * (_M[k] if k < len(_M) else np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)))
     total ^= total >> np.uint64(29)
     total *= np.uint64(0xBF58476D1CE4E5B9)
     total ^= total >> np.uint64(32)
@@ -123,11 +142,11 @@ def _slots(tokens: list[str], slot: np.ndarray, start: int, size: int) -> list[s
 
 
 def _rows(key: list, columns: list[list]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([key, *columns], types)], ["id", "size", "pos", "total", "hash", "slots"])
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([key, *columns], types)], ["id", "kind", "size", "pos", "total", "hash", "slots"])
 
 
-_SCHEMA = "id bigint, size int, pos int, total int, hash bigint, slots array<string>"
+_SCHEMA = "id bigint, kind int, size int, pos int, total int, hash bigint, slots array<string>"
 
 
 def _item_windows(window: int, shortest: int):
@@ -135,41 +154,49 @@ def _item_windows(window: int, shortest: int):
         memo = Tokens()
         for batch in batches:
             key: list = []
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens, hashes, slot = template(text, memo)
+                tokens, plain, slots = literals(text, memo)
                 size = min(window, len(tokens))
-                if size < shortest:
-                    continue
-                starts, values = windows(hashes, slot, size)
-                for p, h in zip(starts.tolist(), values.view(np.int64).tolist()):
-                    key.append(item)
-                    for c, v in zip(cols, (size, p, len(starts), h, _slots(tokens, slot, p, size))):
-                        c.append(v)
+                usable = False
+                for kind in (TEMPLATE, VERBATIM):
+                    if kind == VERBATIM:
+                        size = len(tokens)
+                    if not size or (kind == VERBATIM and usable) or (kind != VERBATIM and size < shortest):
+                        continue
+                    hashes, slot = reading(kind, plain, slots)
+                    starts, values = windows(hashes, slot, size)
+                    usable = usable or len(starts) > 0
+                    for p, h in zip(starts.tolist(), values.view(np.int64).tolist()):
+                        key.append(item)
+                        for c, v in zip(cols, (kind, size, p, len(starts), h, _slots(tokens, slot, p, size))):
+                            c.append(v)
             yield _rows(key, cols)
 
     return work
 
 
-def _doc_windows(shared, sizes: list[int], bits: int):
+def _doc_windows(shared, sizes: list[tuple[int, int]], bits: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(shared.value, np.uint8)
         shift = np.uint64(64 - bits)
         memo = Tokens()
         for batch in batches:
             key: list = []
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if len(memo) >= MEMO:
                     memo.start()
-                tokens, hashes, slot = template(text.as_py(), memo)
-                for size in sizes:
+                tokens, plain, slots = literals(text.as_py(), memo)
+                kinds = {kind: reading(kind, plain, slots) for kind, _ in sizes}
+                for kind, size in sizes:
+                    hashes, slot = kinds[kind]
                     starts, values = windows(hashes, slot, size)
                     at = values >> shift
                     hit = np.flatnonzero((bitmap[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
                     for p, h in zip(starts[hit].tolist(), values[hit].view(np.int64).tolist()):
                         key.append(doc)
-                        for c, v in zip(cols, (size, p, 0, h, _slots(tokens, slot, p, size))):
+                        for c, v in zip(cols, (kind, size, p, 0, h, _slots(tokens, slot, p, size))):
                             c.append(v)
             yield _rows(key, cols)
 
@@ -182,6 +209,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     document that leaks an item.
 
     Items shorter than the window are searched by one window of their own length.
+    A pair that leaks by its template has the template's counts; otherwise
+    1 of 1 for an item that is searched verbatim.
     Null ids, and null or empty texts on either side, match nothing. Rows that
     repeat an id count as one document or item. Empty tables give no rows.
     ``reparameterised`` says that a replaced value differs from the item's.
@@ -197,19 +226,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     words = items.groupBy(F.shiftright(cell, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(hash, {64 - bits}) & 63 AS INT))")).alias("b")).toPandas()
     bitmap = np.zeros(1 << (bits - 6), np.int64)
     bitmap[words.w.to_numpy(np.int64)] = words.b.to_numpy(np.int64)
-    sizes = [r[0] for r in items.select("size").distinct().collect()]
+    sizes = sorted((r[0], r[1]) for r in items.select("kind", "size").distinct().collect())
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
 
     found = (
         docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
         .where("id IS NOT NULL AND text IS NOT NULL AND text <> ''")
         .mapInArrow(_doc_windows(shared, sizes, bits), _SCHEMA)
-        .select(F.col("id").alias("doc_id"), F.col("size"), F.col("pos").alias("dpos"), "hash", F.col("slots").alias("dslots"))
+        .select(F.col("id").alias("doc_id"), "kind", F.col("size"), F.col("pos").alias("dpos"), "hash", F.col("slots").alias("dslots"))
     )
-    met = found.join(items.select(F.col("id").alias("item_id"), "size", F.col("pos").alias("ipos"), "total", "hash", F.col("slots").alias("islots")), ["size", "hash"])
+    met = found.join(items.select(F.col("id").alias("item_id"), "kind", "size", F.col("pos").alias("ipos"), "total", "hash", F.col("slots").alias("islots")), ["kind", "size", "hash"])
     met = met.where("size(dslots) = size(islots)").withColumn("offset", F.col("dpos") - F.col("ipos"))
     # a slot pair: the item's value and the document's, both with their type
-    aligned = met.groupBy("doc_id", "item_id", "offset").agg(
+    aligned = met.groupBy("kind", "doc_id", "item_id", "offset").agg(
         F.collect_set("ipos").alias("at"),
         F.max("total").alias("total"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("islots", "dslots")))).alias("pairs"),
@@ -217,13 +246,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     consistent = aligned.where(
         (F.size("pairs") == F.size(F.array_distinct("pairs.islots"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.dslots")))
     )
-    joined = consistent.groupBy("doc_id", "item_id").agg(
+    joined = consistent.groupBy("kind", "doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint").alias("matched"),
         F.max("total").cast("bigint").alias("total"),
         F.bool_or(F.exists("pairs", lambda p: p["islots"] != p["dslots"])).alias("reparameterised"),
     )
     share = F.col("matched") / F.col("total")
-    return joined.where(share >= coverage).select("doc_id", "item_id", "matched", "total", F.round(share, 4).alias("coverage"), "reparameterised")
+    reached = joined.where(share >= coverage).groupBy("doc_id", "item_id").agg(F.min_by(F.struct("matched", "total", "reparameterised"), "kind").alias("r"))
+    return reached.select("doc_id", "item_id", "r.*").select("doc_id", "item_id", "matched", "total", F.round(share, 4).alias("coverage"), "reparameterised")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
