@@ -56,6 +56,13 @@ def test_items_without_a_usable_window_are_found_verbatim(spark):
     assert got == {(10 + i, i, 1.0, False) for i, _ in items}
 
 
+def test_verbatim_passages_match_wherever_they_stand_in_any_case(spark):
+    question = "What is the capital of France?"
+    docs = [(1, "Quiz question: " + question), (2, question.lower()), (3, 'they asked "' + question + '"'), (4, "Quiz question: Where is the capital of France?"), (5, ITEM.lower()), (6, question)]
+    got = {(r.doc_id, r.item_id) for r in find(spark, docs, [item(question, 1), item(ITEM, 2)]).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (5, 2), (6, 1)}
+
+
 def brute(docs, items, coverage=D.COVERAGE):
     memo = D.Tokens()
     rows = lambda pairs: {i: D.template(t, memo) for i, t in pairs if i is not None and t}

@@ -10,7 +10,9 @@ by type: "3 ... 3" may become "7 ... 7" but not "7 ... 8". A document leaks an
 item if windows at consistent alignments cover at least ``COVERAGE`` of the
 item's windows.
 
-An item without a usable window (slot-heavy, or shorter than ``SHORTEST``)
+What counts as a name depends on what stands before it. Where the template leaks
+nothing, windows are therefore compared with names as literals, whatever their
+case. An item without a usable window (slot-heavy, or shorter than ``SHORTEST``)
 is searched as a whole, each of its tokens literal, so that copies are found.
 
 Documents' windows pass a bitmap of the benchmark's hashes before they leave
@@ -159,7 +161,7 @@ def _item_windows(window: int, shortest: int):
                 tokens, plain, slots = literals(text, memo)
                 size = min(window, len(tokens))
                 usable = False
-                for kind in (TEMPLATE, VERBATIM):
+                for kind in (TEMPLATE, FOLDED, VERBATIM):
                     if kind == VERBATIM:
                         size = len(tokens)
                     if not size or (kind == VERBATIM and usable) or (kind != VERBATIM and size < shortest):
@@ -209,8 +211,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     document that leaks an item.
 
     Items shorter than the window are searched by one window of their own length.
-    A pair that leaks by its template has the template's counts; otherwise
-    1 of 1 for an item that is searched verbatim.
+    A pair that leaks by its template has the template's counts; otherwise those
+    with names as literals, or 1 of 1 for an item that is searched verbatim.
     Null ids, and null or empty texts on either side, match nothing. Rows that
     repeat an id count as one document or item. Empty tables give no rows.
     ``reparameterised`` says that a replaced value differs from the item's.
