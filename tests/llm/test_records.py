@@ -115,6 +115,17 @@ def test_templates(spark):
     assert abs(r.share - (sum(same) + U.SMOOTH * prior) / (len(same) + U.SMOOTH)) < 1e-6
 
 
+def test_a_bad_section_of_a_wide_host_stays(spark):
+    name = lambda k: chr(97 + k % 26) + "x" + chr(97 + k // 26)
+    rows = [(f"https://h.com/{name(k)}/{i}", int(k == 0)) for k in range(U.CHILDREN + 20) for i in range(20)]
+    few = [(f"https://h.com/q{name(k)}/1", 1) for k in range(3)]
+    rows += few
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id bigint, url string")
+    got = {rows[r.page_id][0]: r for r in U.filter_urls(df, spark.createDataFrame([(i, b) for i, (_, b) in enumerate(rows)], "page_id bigint, bad int")).collect()}
+    assert {(r.template, r.rejected) for u, r in got.items() if "/axa/" in u} == {("/axa/*", True)}
+    assert {(r.template, r.rejected) for u, r in got.items() if "/axa/" not in u} == {("/*/*", False)}
+
+
 def test_similar_branches_merge(spark):
     urls = [f"https://h.com/{s}/{i}" for s in ("en", "de", "fr", "spam") for i in range(50)]
     bad = [int(i % 10 == 0 or "spam" in u) for i, u in enumerate(urls)]

@@ -2,7 +2,8 @@
 
 Each host has a tree of path segments. Level by level, from the root, a segment
 turns into the wildcard * where it looks variable (numbers, hexadecimal, UUIDs,
-dates) or its node has too many children; of the other branches, those whose
+dates), or its node has many children and it has few labels or a rate of bad
+pages like its node's; of the other branches, those whose
 labelled rate of bad pages doesn't differ significantly from their node's are
 merged into the branch ~. A page's template is its path through the tree.
 A template is rejected if its share of bad pages, smoothed towards the share
@@ -18,7 +19,7 @@ from ._common import durable
 
 DEPTH = 6
 VARIABLE = r"(?i)^(?:[0-9]+|[0-9a-f]{8,}|[0-9a-f]{8}-[0-9a-f-]{27}|[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?|.*[0-9]{4,}.*)$"
-#: Children beyond which a node's segments are taken as variable.
+#: Children beyond which a node's segments are taken as variable, unless their labels say otherwise.
 CHILDREN = 40
 #: Squared z-score up to which a branch is like its node.
 LIKE = 3.84
@@ -62,7 +63,7 @@ def templates(paths: DataFrame) -> DataFrame:
         # (bad·N - B·n)² against LIKE · n · B · (N - B)
         off = (F.col("bad") * F.col("node_labelled") - F.col("node_bad") * F.col("labelled")).cast("double")
         like = off * off <= LIKE * F.col("labelled").cast("double") * F.col("node_bad").cast("double") * (F.col("node_labelled") - F.col("node_bad")).cast("double")
-        name = F.when(F.col("variable") | (F.col("children") > CHILDREN), F.lit("*")).when((F.col("children") > 1) & like, F.lit("~")).otherwise(F.col("seg"))
+        name = F.when(F.col("variable") | ((F.col("children") > CHILDREN) & (like | (F.col("labelled") < LEAST))), F.lit("*")).when((F.col("children") > 1) & like, F.lit("~")).otherwise(F.col("seg"))
         named = decided.select("host", "template", "seg", name.alias("name"))
         joined = here.join(named, ["host", "template", "seg"], "left")
         at = durable(
