@@ -4,7 +4,7 @@ import re
 import pytest
 from test_decontaminate import brute as brute_leaks
 from test_sharding import brute as brute_tree
-from test_simhash import brute_pairs
+from test_simhash import brute as brute_classes
 
 import corpus_pipeline as P
 from verdigris.llm import langid as L
@@ -46,18 +46,8 @@ def test_each_stage_against_brute_force(spark, sf, stages):
             want.append(r.doc_id)
     assert ids(identified) == sorted(want)
 
-    rows = [(r.doc_id, r.text) for r in identified.collect()]
-    parent = {i: i for i, _ in rows}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a, b, _ in brute_pairs(rows):
-        x, y = root(a), root(b)
-        parent[max(x, y)] = min(x, y)
-    assert ids(unique) == sorted(i for i in parent if root(i) == i)
+    classes = brute_classes([(r.doc_id, r.text) for r in identified.collect()])
+    assert ids(unique) == sorted(i for i, (c, _) in classes.items() if i == c)
 
     rows = [(r.doc_id, r.text) for r in unique.collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

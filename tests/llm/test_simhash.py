@@ -3,37 +3,42 @@ import random
 import re
 
 import numpy as np
-
+import pytest
 from llm_data import make_words, sentence
 from verdigris.llm import simhash as S
-from verdigris.llm.graph import components
+from verdigris.llm.graph import components, unite
 
 
 def brute_print(text):
-    words = set(re.findall(r"[^\W_]+", text.lower()))
+    words = set(re.findall(r"[^\W_]+", (text or "").lower()))
     total = [0] * 128
     for w in words:
         h = int.from_bytes(hashlib.md5(w.encode()).digest(), "big")
         for b in range(128):
             total[b] += 1 if h >> (127 - b) & 1 else -1
     bits = [int(t > 0) for t in total]
-    return int("".join(map(str, bits[:64])), 2), int("".join(map(str, bits[64:])), 2), len(words)
+    return (int("".join(map(str, bits[:64])), 2), int("".join(map(str, bits[64:])), 2)) if words else None
 
 
-def brute_pairs(rows):
-    prints = {i: brute_print(t) for i, t in rows if i is not None and t and re.search(r"[^\W_]", t)}
-    groups = {}
-    for i, p in prints.items():
-        groups.setdefault(p, []).append(i)
-    pairs = {(min(g), i, 0) for g in groups.values() for i in g if i != min(g)}
-    reps = sorted((min(g), p) for p, g in groups.items())
-    for x in range(len(reps)):
-        for y in range(x + 1, len(reps)):
-            (a, p), (b, q) = reps[x], reps[y]
-            d = (p[0] ^ q[0]).bit_count()
-            if d <= S.RADIUS and (p[1] ^ q[1]).bit_count() <= S.CONFIRM and 5 * min(p[2], q[2]) >= 4 * max(p[2], q[2]):
-                pairs.add((a, b, d))
-    return pairs
+def brute(rows):
+    """doc_id -> (class, links), by comparing every document with every other."""
+    prints = sorted({(i, brute_print(t)) for i, t in rows if i is not None}, key=str)
+    parent = {i: i for i, _ in prints}
+    links = dict.fromkeys(parent, 0)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, (a, p) in enumerate(prints):
+        for b, q in prints[x + 1 :]:
+            if p and q and (p[0] ^ q[0]).bit_count() <= S.RADIUS and (p[1] ^ q[1]).bit_count() <= S.CONFIRM:
+                links[a] += 1
+                links[b] += 1
+                u, v = root(a), root(b)
+                parent[max(u, v)] = min(u, v)
+    return {i: (root(i), links[i]) for i in parent}
 
 
 def corpus(n=220, seed=3):
@@ -50,55 +55,68 @@ def corpus(n=220, seed=3):
     return rows
 
 
-def test_pairs_equal_brute_force_for_any_shard(spark):
+def found(df, **options):
+    rows = S.near_duplicates(df, **options).collect()
+    assert len({r.doc_id for r in rows}) == len(rows)
+    assert all(r.kept == (r.doc_id == r.class_id) for r in rows)
+    return {r.doc_id: (r.class_id, r.links) for r in rows}
+
+
+def test_classes_and_links_equal_brute_force_for_any_shard(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    want = brute_pairs(rows)
-    assert len(want) > 50
+    want = brute(rows)
+    assert sum(n for _, n in want.values()) > 100
     for shard in (S.SHARD, 15, 3):
-        got = [tuple(r) for r in S.near_duplicates(df, shard=shard).collect()]
-        assert len(got) == len(set(got))
-        assert set(got) == want
+        assert found(df, shard=shard) == want
 
 
-def test_memory_tree_is_exact():
+def test_contained_texts_are_linked_whatever_their_sizes(spark):
+    rng = random.Random(1)
+    words = make_words(4, 900)
+    rows = []
+    for i in range(0, 120, 2):
+        base = rng.sample(words, 200)
+        rows += [(i, " ".join(base)), (i + 1, " ".join(base + rng.sample(words, rng.randint(20, 120))))]
+    want = brute(rows)
+    got = found(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got == want
+    sizes = dict((i, len(set(t.split()))) for i, t in rows)
+    assert any(got[i + 1][0] == i and sizes[i + 1] > 1.25 * sizes[i] for i in range(0, 120, 2))
+
+
+@pytest.mark.parametrize("radius", [3, 10, 14])
+@pytest.mark.parametrize("chunk", [S.CHUNK, 50])
+def test_search_in_memory_is_exact(radius, chunk, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", chunk)
     rng = np.random.default_rng(0)
-    centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
-    points = np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)) for c in centres])
-    want = {(i, j) for i in range(len(points)) for j in range(i) if (int(points[i]) ^ int(points[j])).bit_count() <= 5}
-    i, j = S.search_block(points, points, 5, True, leaf=64)
-    assert set(zip(i.tolist(), j.tolist())) == want
+    centres = rng.integers(0, 2**63, 25, dtype=np.uint64)
+    points = np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (30, 6), dtype=np.uint64), axis=1) for c in centres])
+    others = points[::3] ^ np.uint64(5)
+    near = lambda x, y: (int(x) ^ int(y)).bit_count() <= radius
+    for scan in (0, 1 << 23):
+        got = [p for i, j in S.near_in_memory(points, points, radius, True, scan) for p in zip(i.tolist(), j.tolist())]
+        assert sorted(got) == [(i, j) for i in range(len(points)) for j in range(i) if near(points[i], points[j])]
+        got = [p for i, j in S.near_in_memory(points, others, radius, False, scan) for p in zip(i.tolist(), j.tolist())]
+        assert sorted(got) == [(i, j) for i in range(len(points)) for j in range(len(others)) if near(points[i], others[j])]
 
 
-def test_rings_are_apart():
-    starts = S.ring_starts(5000)
-    for lo, mid, hi in zip(starts, starts[1:], starts[2:]):
-        assert 4 * hi > 5 * (mid - 1)
-        assert lo < mid < hi
+def test_unite():
+    root = np.arange(10)
+    unite(root, np.array([9, 5, 5, 2]), np.array([5, 7, 3, 4]))
+    unite(root, np.array([4]), np.array([3]))
+    assert root.tolist() == [0, 1, 2, 2, 2, 2, 6, 2, 8, 2]
 
 
 def test_one_of_each_group_stays(spark):
     rows = corpus(seed=8)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    parent = {i: i for i, _ in rows}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a, b, _ in brute_pairs(rows):
-        x, y = root(a), root(b)
-        parent[max(x, y)] = min(x, y)
     kept = sorted(r.doc_id for r in S.drop_near_duplicates(df).collect())
-    assert kept == sorted(i for i in parent if root(i) == i)
+    assert kept == sorted(i for i, (c, _) in brute(rows).items() if i == c)
 
 
 def test_hostile(spark, hostile, hostile_rows, empty):
-    got = {tuple(r) for r in S.near_duplicates(hostile).collect()}
-    rows = [(i, t) for i, t, *_ in hostile_rows]
-    assert {p for p in got if 9 not in p[:2]} == {p for p in brute_pairs([r for r in rows if r[0] != 9]) if 9 not in p[:2]}
-    assert {p[:2] for p in got} >= {(1, 2), (1, 3)}
+    assert found(hostile) == brute([(i, t) for i, t, *_ in hostile_rows])
     left = S.drop_near_duplicates(hostile)
     assert left.columns == hostile.columns
     ids = [r.doc_id for r in left.select("doc_id").collect()]
@@ -112,10 +130,7 @@ def test_hostile(spark, hostile, hostile_rows, empty):
 
 def test_all_alike_and_a_long_chain(spark):
     same = spark.createDataFrame([(i, "one and the same text") for i in range(500)], "doc_id bigint, text string")
-    pairs = S.near_duplicates(same, shard=10).collect()
-    assert sorted(tuple(p) for p in pairs) == [(0, i, 0) for i in range(1, 500)]
+    assert found(same, shard=10) == {i: (0, 499) for i in range(500)}
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(None, 3), (5, 5), (100, 101)], "a bigint, b bigint")
     got = {(r.id, r.component) for r in components(chain, "a", "b").collect()}
     assert got == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
-
-

@@ -1,26 +1,31 @@
 """SimHash near-duplicates, searched exactly with vantage-point trees.
 
 A document's fingerprint is the 64-bit SimHash of its set of lower-case words.
-Two documents are near-duplicates when their fingerprints differ in at most
-``radius`` bits, their word sets differ in size by at most a factor 5/4, and a
-second, independent SimHash confirms it: it differs in at most a quarter of its
-64 bits. (Of unrelated pairs one in 10⁸ is within 10 bits by chance, which is
-too many among the pairs of a large corpus; the second hash leaves one in 10¹².)
-
-The tree is one over the metric that is the larger of the Hamming distance (in
-units of the radius) and the difference of log sizes (in units of log 5/4). Its
-first vantage point is the empty document: distance to it is size alone, so the
-rings around it are size classes, and the triangle bound lets a query visit only
-its own ring and the neighbouring one. Rings with more fingerprints than a shard
-holds are split by vantage fingerprints at the median Hamming distance; a query
-descends into each side that the triangle bound can't exclude. Each leaf is a
-shard; inside it the same search goes on in memory.
+Two documents are linked when their fingerprints differ in at most ``radius``
+bits and a second, independent SimHash confirms it: it differs in at most a
+quarter of its 64 bits. (Of unrelated pairs one in 10⁸ is within 10 bits by
+chance, which is too many among the pairs of a large corpus; the second hash
+leaves one in 10¹².) Sizes don't count: a text and one that adds to it are
+linked if their hashes say so.
+
+Distinct fingerprints are partitioned by a vantage-point tree: a node divides
+them at the median Hamming distance from its vantage fingerprint, until a leaf
+fits a shard. A query descends into each side that the triangle bound can't
+exclude, so it visits every shard that its ball overlaps, and is compared there.
+Inside a shard the four 16-bit quarters serve as filter: words within 10 bits
+are within 2 bits in one quarter at least, which leaves a hundredth of the
+comparisons and loses none.
+
+Linked documents form classes (connected components). Shards return a number of
+links and one edge for each fingerprint, never their pairs, so results grow with
+the documents however large the groups of copies are.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -29,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WORD, durable, without
-from .graph import components
+from .graph import components, unite
 
 RADIUS = 10
 #: Bits in which the second hash may differ.
 CONFIRM = 16
-#: Fingerprints that a shard's leaf holds, and queries in one block of a shard.
-SHARD = 16_384
+#: Fingerprints that a leaf holds, and a tile of its visitors.
+SHARD = 32_768
+#: Candidate pairs that are compared at once.
+CHUNK = 1 << 20
 #: Words whose hashes a Python worker remembers.
 MEMO = 400_000
 
@@ -63,42 +70,27 @@ def simhash(words: set[str], hashes: dict[str, bytes]) -> tuple[int, int]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp, chk, n)``: both SimHashes and the number of distinct words.
+    """``(doc_id, fp, chk)``: both SimHashes.
 
-    Whole texts are used. Rows whose id is null, or whose text is null or has no
-    word, have no fingerprint and are left out. A repeated id is kept per row.
+    Whole texts are used. Rows whose text is null or has no word have null
+    hashes; rows with a null id are left out. A repeated id is kept per row.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         find = WORD.findall
         for batch in batches:
-            ids, fps, checks, sizes = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = set(find(text.as_py().lower()))
-                if words:
-                    fp, chk = simhash(words, hashes)
-                    ids.append(key)
-                    fps.append(fp)
-                    checks.append(chk)
-                    sizes.append(len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "fp", "chk", "n"])
+            fps, checks = [], []
+            for text in batch.column(1):
+                text = text.as_py()
+                words = set(find(text.lower())) if text else None
+                fp, chk = simhash(words, hashes) if words else (None, None)
+                fps.append(fp)
+                checks.append(chk)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(checks, pa.int64())], ["doc_id", "fp", "chk"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").mapInArrow(work, "doc_id bigint, fp bigint, chk bigint, n bigint")
-
-
-def ring_starts(largest: int) -> list[int]:
-    """First sizes of the rings: sizes two rings apart always differ by more
-    than a factor 5/4."""
-    starts = [1]
-    while starts[-1] <= largest:
-        starts.append(starts[-1] * 5 // 4 + 1)
-    return starts
-
-
-def _ring(n: str, starts: list[int]):
-    return F.expr(f"aggregate(array({','.join(f'{s}L' for s in starts)}), 0L, (k, s) -> k + IF({n} >= s, 1L, 0L))")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.where("doc_id IS NOT NULL").mapInArrow(work, "doc_id bigint, fp bigint, chk bigint")
 
 
 def _descend(rows: DataFrame, nodes: DataFrame, slack: int) -> DataFrame:
@@ -112,7 +104,7 @@ def _descend(rows: DataFrame, nodes: DataFrame, slack: int) -> DataFrame:
         ),
         lambda p: p.isNotNull(),
     )
-    joined = rows.join(nodes, ["ring", "path"], "left")
+    joined = rows.join(nodes, "path", "left")
     return joined.withColumn("path", F.explode(F.when(F.col("vantage").isNull(), F.array("path")).otherwise(sides))).select(*rows.columns)
 
 
@@ -123,18 +115,18 @@ def _grow(stored: DataFrame, capacity: int) -> tuple[DataFrame, list[DataFrame]]
     levels: list[DataFrame] = []
     finished = None
     while True:
-        overfull = stored.groupBy("ring", "path").count().where(F.col("count") > capacity).select("ring", "path")
-        overfull = durable(overfull)
+        whole = stored if finished is None else finished.unionByName(stored)
+        overfull = durable(stored.groupBy("path").count().where(F.col("count") > capacity).select("path"))
         if overfull.isEmpty():
-            return (stored if finished is None else finished.unionByName(stored)), levels
-        vantage = stored.join(overfull, ["ring", "path"]).groupBy("ring", "path").agg(F.min_by("fp", F.xxhash64("fp", F.lit(len(levels)))).alias("vantage"))
+            return whole, levels
+        vantage = stored.join(overfull, "path").groupBy("path").agg(F.min_by("fp", F.xxhash64("fp", F.lit(len(levels)))).alias("vantage"))
         counts = (
-            stored.join(durable(vantage), ["ring", "path"])
-            .groupBy("ring", "path", "vantage", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))).alias("d"))
+            stored.join(durable(vantage), "path")
+            .groupBy("path", "vantage", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))).alias("d"))
             .count()
         )
         # the border is the distance that divides most evenly with both sides non-empty
-        per_node = counts.groupBy("ring", "path", "vantage").agg(F.sort_array(F.collect_list(F.struct("d", "count"))).alias("c"))
+        per_node = counts.groupBy("path", "vantage").agg(F.sort_array(F.collect_list(F.struct("d", "count"))).alias("c"))
         border = F.expr(
             """aggregate(slice(c, 1, size(c) - 1),
                  named_struct('seen', 0L, 'at', -1, 'best', 9223372036854775807L),
@@ -143,118 +135,155 @@ def _grow(stored: DataFrame, capacity: int) -> tuple[DataFrame, list[DataFrame]]
                     'best', least(s.best, abs(2 * (s.seen + x.count) - total))),
                  s -> s.at)"""
         )
-        nodes = (
+        nodes = durable(
             per_node.withColumn("total", F.expr("aggregate(c, 0L, (s, x) -> s + x.count)"))
             .withColumn("border", border)
-            .where("border >= 0")  # one distance only: all its fingerprints are equally far, a leaf for good
-            .select("ring", "path", "vantage", "border")
+            .where("border >= 0")  # one distance only: a leaf for good, which its tiles divide
+            .select("path", "vantage", "border")
         )
-        nodes = durable(nodes)
-        if nodes.isEmpty():
-            return (stored if finished is None else finished.unionByName(stored)), levels
+        if nodes.isEmpty() or len(levels) == 61:  # paths are 63 bits long; tiles divide what is left
+            return whole, levels
         levels.append(nodes)
-        at_node = stored.join(nodes.select("ring", "path"), ["ring", "path"], "left_semi")
-        done = stored.join(nodes.select("ring", "path"), ["ring", "path"], "left_anti")
+        at_node = stored.join(nodes.select("path"), "path", "left_semi")
+        done = stored.join(nodes.select("path"), "path", "left_anti")
         finished = done if finished is None else finished.unionByName(done)
         stored = durable(_descend(at_node, nodes, 0))
 
 
-def search_block(stored: np.ndarray, queries: np.ndarray, radius: int, same: bool, leaf: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (stored, query) within ``radius``, by a vantage-point tree in
-    memory; with ``same`` the two are one array and pairs have stored > query."""
-    found_s: list[np.ndarray] = []
-    found_q: list[np.ndarray] = []
-    stack = [(np.arange(len(stored)), np.arange(len(queries)), 0)]
-    while stack:
-        s, q, depth = stack.pop()
-        if not len(s) or not len(q):
-            continue
-        if len(s) > leaf and depth < 24:
-            vantage = stored[s[(depth * 7919) % len(s)]]
-            ds = np.bitwise_count(stored[s] ^ vantage)
-            border = int(np.median(ds))
-            if ds.max() > border:
-                dq = np.bitwise_count(queries[q] ^ vantage).astype(np.int16)
-                near, far = q[dq - radius <= border], q[dq + radius > border]
-                # where the bounds exclude little, a scan of the whole node is cheaper
-                if len(near) + len(far) < 1.7 * len(q):
-                    inner = ds <= border
-                    stack.append((s[inner], near, depth + 1))
-                    stack.append((s[~inner], far, depth + 1))
-                    continue
-        points = stored[s]
-        step = max(1, 131_072 // len(s))
-        for i in range(0, len(q), step):
-            part = q[i : i + step]
-            first = i if same and depth == 0 else 0  # at the root both sides are in one order
-            hit_q, hit_s = np.nonzero(np.bitwise_count(queries[part][:, None] ^ points[None, first:]) <= radius)
-            found_s.append(s[first + hit_s])
-            found_q.append(part[hit_q])
-    if not found_s:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate(found_s), np.concatenate(found_q)
-    if same:
-        above = i > j
-        i, j = i[above], j[above]
-    return i, j
-
-
-def near_pairs(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """``(doc_id_a, doc_id_b, hamming)`` with ``doc_id_a < doc_id_b``.
-
-    Documents with equal hashes and size are stood for by the smallest id,
-    to which each of the others is paired at distance 0; every pair of such
-    representatives within the radius is listed, without any cap. Distance 0
-    also joins equal fingerprints of different sizes. An empty table gives no
-    pairs.
-    """
-    prints = durable(prints.select("doc_id", "fp", "chk", "n").distinct())
-    unique = durable(prints.groupBy("fp", "chk", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    copied = unique.where("copies > 1")
-    stars = prints.join(copied, ["fp", "chk", "n"]).where("doc_id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(0).alias("hamming"))
-
-    largest = unique.agg(F.max("n")).first()[0] or 1
-    starts = ring_starts(largest)
-    placed = unique.select("rep", "fp", "chk", "n", _ring("n", starts).alias("ring"), F.lit(1).cast("bigint").alias("path"))
-    stored, levels = _grow(placed, shard)
+def masks(bits: int, most: int) -> np.ndarray:
+    """All words of ``bits`` bits with at most ``most`` ones."""
+    return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(bits), k)], np.int64)
+
+
+def near_in_memory(fp: np.ndarray, other: np.ndarray, radius: int, same: bool, scan: int = 1 << 23) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (of ``fp``, of ``other``) within ``radius``, each once, in
+    chunks of bounded size; with ``same`` the two are one array and pairs have
+    the first index greater. Small inputs are scanned, others filtered by quarters."""
+    if not len(fp) or not len(other):
+        return
+    most = radius // 4
+    if len(fp) * len(other) <= scan or most > 2:
+        step = max(1, 131_072 // len(fp))
+        for at in range(0, len(other), step):
+            j, i = np.nonzero(np.bitwise_count(other[at : at + step, None] ^ fp[None]) <= radius)
+            j += at
+            keep = i > j if same else slice(None)
+            yield i[keep], j[keep]
+        return
+    quarter = lambda x, k: ((x >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)
+    for k in range(4):
+        mine, theirs = quarter(fp, k), quarter(other, k)
+        order = np.argsort(mine, kind="stable")
+        count = np.bincount(mine, minlength=1 << 16)
+        start = np.cumsum(count) - count
+        for mask in masks(16, most):
+            value = theirs ^ mask
+            many = count[value]
+            asked = np.flatnonzero(many)
+            upto = np.cumsum(many[asked])
+            at = 0
+            while at < len(asked):
+                done = upto[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(upto, done + CHUNK, "right")))
+                part = asked[at:to]
+                n = many[part]
+                j = np.repeat(part, n)
+                i = order[np.repeat(start[value[part]] - (np.cumsum(n) - n), n) + np.arange(len(j))]
+                apart = fp[i] ^ other[j]
+                hit = np.flatnonzero(np.bitwise_count(apart) <= radius)
+                if len(hit):
+                    i, j, apart = i[hit], j[hit], apart[hit]
+                    # a pair counts in the first of the quarters that would find it
+                    keep = i > j if same else np.ones(len(i), bool)
+                    for before in range(k):
+                        keep &= np.bitwise_count(quarter(apart, before)) > most
+                    yield i[keep], j[keep]
+                at = to
+
+
+def _meet(radius: int):
+    """Links and local roots of the fingerprints of one tile of a leaf (side 0)
+    and one that meets it (side 1), or of the tile itself."""
 
-    # a query visits its own ring and the next, on either side of near borders
-    queries = stored.select("rep", "fp", "chk", "n", F.col("path").alias("own"), F.col("ring").alias("home"), F.explode(F.array(F.col("ring"), F.col("ring") + 1)).alias("ring"), F.lit(1).cast("bigint").alias("path"))
+    def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        same = key[1] == key[2]
+        group = group.sort_values(["side", "rep", "node"], ignore_index=True)
+        left = int((group.side == 0).sum())
+        fp, chk = group.fp.to_numpy().view(np.uint64), group.chk.to_numpy().view(np.uint64)
+        copies = group.copies.to_numpy(np.int64)
+        links, root = np.zeros(len(group), np.int64), np.arange(len(group))
+        for i, j in near_in_memory(fp[:left], fp[:left] if same else fp[left:], radius, same):
+            if not same:
+                j = j + left
+            fit = np.bitwise_count(chk[i] ^ chk[j]) <= CONFIRM
+            i, j = i[fit], j[fit]
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            unite(root, i, j)
+        at = np.flatnonzero(links)
+        return pd.DataFrame({"node": group.node.to_numpy()[at], "links": links[at], "a": group.rep.to_numpy()[at], "b": group.rep.to_numpy()[root[at]]})
+
+    return work
+
+
+def linked(unique: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """``(node, links, a, b)`` of ``unique`` (node, rep, fp, chk, copies): parts of
+    the number of documents that a node's are linked to, outside the node, and
+    edges between representatives that connect what is linked. Exact."""
+    placed = unique.select("node", "rep", "fp", "chk", "copies", F.lit(1).cast("bigint").alias("path"))
+    stored, levels = _grow(placed, shard)
+    queries = stored.withColumnRenamed("path", "own").withColumn("path", F.lit(1).cast("bigint"))
     for nodes in levels:
         queries = _descend(queries, nodes, radius)
-    # leaves of one ring are ordered, so that each pair of leaves meets once
-    visits = queries.where("ring > home OR path > own").select("rep", "fp", "chk", "n", "ring", "path")
-
-    # A leaf's visitors come in blocks of bounded size, each with a copy of the leaf.
-    blocks = visits.groupBy("ring", "path").agg(F.ceil(F.count("*") / F.lit(shard)).alias("blocks"))
-    with_blocks = stored.join(blocks, ["ring", "path"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(0)))
-    leaves = with_blocks.select("rep", "fp", "chk", "n", "ring", "path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks"))).alias("block"), F.lit(0).alias("role"))
-    guests = visits.join(blocks, ["ring", "path"]).select("rep", "fp", "chk", "n", "ring", "path", (F.pmod(F.xxhash64("fp", "n"), F.col("blocks")) + 1).alias("block"), F.lit(1).alias("role"))
-
-    def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        own = group[group.role == 0]
-        columns = lambda rows: (rows.fp.to_numpy().view(np.uint64), rows.chk.to_numpy().view(np.uint64), rows.n.to_numpy(), rows.rep.to_numpy())
-        fp, chk, n, rep = columns(own)
-        qfp, qchk, qn, qrep = (fp, chk, n, rep) if key[2] == 0 else columns(group[group.role == 1])
-        i, j = search_block(fp, qfp, radius, key[2] == 0)
-        fit = (5 * np.minimum(n[i], qn[j]) >= 4 * np.maximum(n[i], qn[j])) & (np.bitwise_count(chk[i] ^ qchk[j]) <= CONFIRM)
-        i, j = i[fit], j[fit]
-        a, b = rep[i], qrep[j]
-        return pd.DataFrame({"doc_id_a": np.minimum(a, b), "doc_id_b": np.maximum(a, b), "hamming": np.bitwise_count(fp[i] ^ qfp[j]).astype(np.int32)})
-
-    pairs = leaves.unionByName(guests).groupBy("ring", "path", "block").applyInPandas(work, "doc_id_a bigint, doc_id_b bigint, hamming int")
-    return stars.unionByName(pairs.where("doc_id_a <> doc_id_b"))
+    # leaves are ordered, so that each pair of leaves meets once
+    visits = queries.where("path > own").drop("own")
+
+    # A leaf and its visitors lie in tiles of bounded size. A tile of the leaf meets
+    # itself, the leaf's later tiles and all tiles of visitors.
+    kept = durable(stored.groupBy("path").agg(F.ceil(F.count("*") / F.lit(shard)).cast("int").alias("s")))
+    tiled = durable(visits.groupBy("path").agg(F.ceil(F.count("*") / F.lit(shard)).cast("int").alias("g")).join(kept, "path", "right").withColumn("g", F.coalesce("g", F.lit(0))))
+    tile = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    home = stored.join(tiled, "path").withColumn("t", tile("s"))
+    guests = visits.join(tiled, "path").withColumn("t", F.col("s") + tile("g"))
+    columns = ["node", "rep", "fp", "chk", "copies", "path"]
+    first = home.select(*columns, F.col("t").alias("i"), F.explode(F.expr("sequence(t, s + g - 1)")).alias("j"), F.lit(0).alias("side"))
+    second = home.where("t > 0").select(*columns, F.explode(F.expr("sequence(0, t - 1)")).alias("i"), F.col("t").alias("j"), F.lit(1).alias("side"))
+    third = guests.select(*columns, F.explode(F.expr("sequence(0, s - 1)")).alias("i"), F.col("t").alias("j"), F.lit(1).alias("side"))
+    meetings = first.unionByName(second).unionByName(third)
+    return meetings.groupBy("path", "i", "j").applyInPandas(_meet(radius), "node bigint, links bigint, a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Near-duplicate pairs of a table of documents; see ``near_pairs`` for what
-    pairs are listed and ``fingerprints`` for rows without a fingerprint."""
-    return near_pairs(fingerprints(docs, id_col, text_col), radius, shard)
+    """``(doc_id, class_id, links, kept)``, a row a document.
+
+    ``class_id`` is the smallest id of the document's class, all documents that
+    it reaches by links; ``links`` the number of documents that it is linked
+    with itself, copies included; ``kept`` is true for the one that stands for its class. A
+    document without a word is a class of its own, without links. Rows that repeat an
+    id with one text are one document; with different texts, the id's links are the sum of
+    its texts' and its classes are one. Rows with a null id are left out. An
+    empty table gives an empty one. Nothing is capped: equal fingerprints are
+    one node with a number of copies, and all pairs of nodes within the radius count.
+    """
+    prints = durable(fingerprints(docs, id_col, text_col).distinct())
+    # numbered once, in a written table; copies are counted before anything moves
+    unique = durable(prints.where("fp IS NOT NULL").groupBy("fp", "chk").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
+    found = durable(linked(unique, radius, shard))
+    several = prints.where("fp IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    placed = prints.join(unique, ["fp", "chk"], "left")
+    bound = placed.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    classes = components(found.select("a", "b").unionByName(bound), "a", "b").withColumnRenamed("id", "rep")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    nodes = durable(unique.join(links, "node", "left").join(classes, "rep", "left").select(
+        "fp", "chk", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")
+    ))
+    rows = prints.join(nodes, ["fp", "chk"], "left").select("doc_id", "class_id", "links")
+    each = rows.groupBy("doc_id").agg(F.coalesce(F.min("class_id"), "doc_id").alias("class_id"), F.coalesce(F.sum("links"), F.lit(0)).alias("links"))
+    return each.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """``docs`` with one document (the smallest id) of each connected group of
-    near-duplicates. Rows without a fingerprint stay. Of rows that repeat an id
-    that stays, all stay. Extra columns pass through untouched."""
-    groups = components(near_duplicates(docs, id_col, text_col, radius, shard), "doc_id_a", "doc_id_b")
-    return without(docs, groups.where("id <> component").select("id"), id_col)
+    """``docs`` with one document (the smallest id) of each class. Rows without a
+    word or with a null id stay. Of rows that repeat an id that stays, all stay.
+    Extra columns pass through untouched. An empty table gives an empty one."""
+    return without(docs, near_duplicates(docs, id_col, text_col, radius, shard).where("NOT kept").select("doc_id"), id_col)

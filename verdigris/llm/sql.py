@@ -7,7 +7,7 @@ from ._common import WORD_RE2
 SQL: dict[str, str] = {}
 
 SQL["op10_simhash_near_dedup"] = f"""
-WITH words AS MATERIALIZED (
+WITH RECURSIVE words AS MATERIALIZED (
   SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{WORD_RE2}'))) AS w
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), hashed AS (
@@ -18,18 +18,26 @@ WITH words AS MATERIALIZED (
   SELECT doc_id, bit, count(*) FILTER (WHERE (h >> bit) & 1 = 1) AS c, count(*) FILTER (WHERE (g >> bit) & 1 = 1) AS e
   FROM hashed, (SELECT unnest(range(64))::UBIGINT AS bit) GROUP BY doc_id, bit
 ), prints AS MATERIALIZED (
-  SELECT doc_id, n, bit_or(CASE WHEN 2 * c > n THEN 1::UBIGINT << bit ELSE 0::UBIGINT END) AS fp,
+  SELECT doc_id, bit_or(CASE WHEN 2 * c > n THEN 1::UBIGINT << bit ELSE 0::UBIGINT END) AS fp,
     bit_or(CASE WHEN 2 * e > n THEN 1::UBIGINT << bit ELSE 0::UBIGINT END) AS chk
-  FROM ones JOIN sizes USING (doc_id) GROUP BY doc_id, n
-), reps AS MATERIALIZED (
-  SELECT fp, chk, n, min(doc_id) AS rep FROM prints GROUP BY fp, chk, n
+  FROM ones JOIN sizes USING (doc_id) GROUP BY doc_id
+), nodes AS MATERIALIZED (
+  SELECT fp, chk, min(doc_id) AS rep, count(*) AS copies FROM prints GROUP BY fp, chk
+), edges AS MATERIALIZED (
+  SELECT a.rep AS x, b.rep AS y, b.copies FROM nodes a JOIN nodes b ON a.rep <> b.rep
+  WHERE bit_count(xor(a.fp, b.fp)) <= 10 AND bit_count(xor(a.chk, b.chk)) <= 16
+), reach AS (
+  SELECT rep AS x, rep AS y FROM nodes UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x
+), classes AS (
+  SELECT x AS rep, min(y) AS class_id FROM reach GROUP BY x
+), links AS (
+  SELECT x AS rep, sum(copies) AS others FROM edges GROUP BY x
+), placed AS (
+  SELECT doc_id, class_id, copies - 1 + coalesce(others, 0) AS links
+  FROM prints JOIN nodes USING (fp, chk) JOIN classes USING (rep) LEFT JOIN links USING (rep)
 )
-SELECT rep AS doc_id_a, doc_id AS doc_id_b, 0::INTEGER AS hamming
-FROM prints JOIN reps USING (fp, chk, n) WHERE doc_id <> rep
-UNION ALL
-SELECT least(a.rep, b.rep), greatest(a.rep, b.rep), bit_count(xor(a.fp, b.fp))::INTEGER
-FROM reps a JOIN reps b ON a.rep < b.rep
-WHERE bit_count(xor(a.fp, b.fp)) <= 10 AND bit_count(xor(a.chk, b.chk)) <= 16 AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, coalesce(links, 0)::BIGINT AS links, coalesce(class_id, d.doc_id) = d.doc_id AS kept
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN placed p ON d.doc_id = p.doc_id
 """
 
 SQL["op1_source_mixing"] = r"""
