@@ -24,29 +24,67 @@ def cloud(seed=0, groups=(2, 3, 60, 150), alone=500, dim=32, noise=0.03):
     return x[rng.permutation(len(x))]
 
 
-def brute(x, threshold):
+def near(x, threshold=E.THRESHOLD):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = u @ u.T
-    return {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= threshold}
+    s = u @ u.T >= threshold
+    np.fill_diagonal(s, False)
+    return s
+
+
+def classes(s):
+    root = np.arange(len(s))
+    while True:
+        up = np.minimum(root, np.where(s, root[None, :], len(s)).min(axis=1))
+        if (up == root).all():
+            return root
+        root = up
 
 
 @pytest.mark.parametrize("small", [False, True])
 def test_recall(spark, small):
     x = cloud()
     options = {"run": 97, "tile": 40, "window": 4} if small else {}
-    got = {(r.vec_id_a, r.vec_id_b) for r in E.near_duplicates(vectors(spark, x), **options).collect()}
-    want = brute(x, E.THRESHOLD)
-    assert got <= want
-    assert len(got & want) >= 0.98 * len(want)
-    assert len(want) > 12_000
+    rows = E.near_duplicates(vectors(spark, x), **options).collect()
+    s = near(x)
+    links, want = np.zeros(len(x), int), s.sum(axis=1)
+    for r in rows:
+        links[r.vec_id] = r.links
+    assert len(rows) == len(x)
+    assert (links <= want).all()
+    assert links.sum() >= 0.98 * want.sum() > 24_000
+    root = classes(s)
+    assert sum(r.class_id == root[r.vec_id] for r in rows) >= 0.98 * len(rows)
 
 
 def test_recall_near_the_threshold(spark):
     x = cloud(seed=2, groups=(2,) * 200, alone=2000, noise=0.3)
-    got = {(r.vec_id_a, r.vec_id_b) for r in E.near_duplicates(vectors(spark, x)).collect()}
-    want = brute(x.astype(np.float32).astype(np.float64), E.THRESHOLD)
-    assert len(want) > 50
-    assert len(got & want) >= 0.9 * len(want)
+    got = {r.vec_id: r.links for r in E.near_duplicates(vectors(spark, x)).collect()}
+    want = near(x.astype(np.float32).astype(np.float64)).sum(axis=1)
+    assert want.sum() > 100
+    assert all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.9 * want.sum()
+
+
+def test_borders_of_short_and_missing_parts():
+    assert E.reaches({0: 5, 1: 2, 4: 3, 5: 9}, 4) == [(1, 0, 0), (4, 1, 0), (4, 0, 2), (5, 4, 0), (5, 1, 3)]
+    assert E.reaches({3: 7}, 4) == []
+
+
+def test_no_pair_is_lost_between_parts(spark):
+    """One pass with a window as wide as the table compares every pair, in however many runs."""
+    x = cloud(seed=3, groups=(2, 9, 30), alone=30)
+    df = vectors(spark, x)
+    for run in (4, 11, 1000):
+        got = {r.vec_id: (r.class_id, r.links) for r in E.near_duplicates(df, passes=1, window=len(x), run=run, tile=7).collect()}
+        s = near(x)
+        assert got == {i: (c, n) for i, (c, n) in enumerate(zip(classes(s).tolist(), s.sum(axis=1).tolist()))}
+
+
+def test_copies_are_counted_and_not_listed(spark):
+    x = np.repeat(np.random.default_rng(1).standard_normal((2, 8)), [400, 1], axis=0)
+    x[-1] = x[0] + 0.01
+    got = E.near_duplicates(vectors(spark, x)).collect()
+    assert {tuple(r) for r in got} == {(i, 0, 400) for i in range(401)}
 
 
 @pytest.mark.parametrize("count", [1, 500, 10_000, 500_000, 2_000_000, 10**9])
@@ -73,8 +111,10 @@ def test_recall_of_isolated_pairs_among_many():
     found = set()
     for number in range(passes):
         (keyed,) = E._keys(number, E.BITS)(iter([rows]))
-        for out in E._run(window, 0.9)(iter([keyed.sort_values(["key", "vec_id"])])):
-            found.update(zip(out.a[out.border == -1], out.b[out.border == -1]))
+        ordered = keyed.sort_values(["key", "vec_id"])
+        ids = ordered.vec_id.to_numpy()
+        for i, j in E._near(E.unit(ordered.v), window, 0.9):
+            found.update(zip(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
     assert sum((i, n - pairs + i) in found for i in range(pairs)) >= 0.9 * pairs
 
 
@@ -83,10 +123,13 @@ def test_embeddings_hostile(spark):
     rows = [(1, one), (1, one), (2, one), (3, [2.0, 4.0, 6.0]), (None, one), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (7, [1.0, None, 3.0]), (8, [float("nan"), 1.0, 1.0]),
             (9, [float("inf"), 1.0, 1.0]), (10, [1.0, 2.0]), (11, [1e30, 2e30, 3e30]), (12, [-1.0, -2.0, -3.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "1 AS v", "1 AS key", "1 AS part", "1 AS dim")
-    got = {(r.vec_id_a, r.vec_id_b): r.cosine for r in E.near_duplicates(df).collect()}
-    assert got == {(1, 2): 1.0, (1, 3): 1.0, (1, 11): 1.0, (3, 11): 1.0}
+    got = {r.vec_id: (r.class_id, r.links) for r in E.near_duplicates(df).collect()}
+    near = {1: (1, 3), 2: (1, 3), 3: (1, 3), 11: (1, 3)}
+    assert got == {i: near.get(i, (i, 0)) for i in range(1, 13)}
     assert E.near_duplicates(df.limit(0)).count() == 0
-    assert E.near_duplicates(df.limit(1)).count() == 0
+    assert E.near_duplicates(df.limit(1)).count() == 1
+    twice = vectors(spark, [[1.0, 0.0], [1.0, 0.01], [0.0, 1.0], [0.01, 1.0]], [5, 6, 5, 8])
+    assert {tuple(r) for r in E.near_duplicates(twice).collect()} == {(5, 5, 2), (6, 5, 1), (8, 5, 1)}
 
 
 LABELS = "doc_id bigint, quality int, toxic int"

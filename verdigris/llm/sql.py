@@ -121,18 +121,34 @@ _BREAKS = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|article|sect
 _PLAIN = _decoded(f"regexp_replace(regexp_replace(regexp_replace(payload, '{_HIDDEN}', ' ', 'g'), '{_BREAKS}', chr(10), 'g'), '<[^>]*>', '', 'g')")
 _PLAIN = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 _TITLE = _decoded(r"regexp_extract(payload, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)")
-SQL["op3_embedding_near_dedup"] = """
-WITH clean AS (
-  SELECT DISTINCT vec_id, embedding AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-), reps AS MATERIALIZED (
-  SELECT v, min(vec_id) AS rep FROM clean GROUP BY v
+
+
+def _classes_sql(table: str) -> str:
+    """Classes and links of a table of vectors by comparing all pairs."""
+    return f"""
+WITH RECURSIVE clean AS (
+  SELECT DISTINCT vec_id, embedding AS v FROM {table} WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), nodes AS MATERIALIZED (
+  SELECT v, min(vec_id) AS rep, count(*) AS copies FROM clean GROUP BY v
+), edges AS MATERIALIZED (
+  SELECT a.rep AS x, b.rep AS y, b.copies FROM nodes a JOIN nodes b ON a.rep <> b.rep AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) >= 0.9
+), reach AS (
+  SELECT rep AS x, rep AS y FROM nodes UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x
+), classes AS (
+  SELECT x AS rep, min(y) AS class_id FROM reach GROUP BY x
+), links AS (
+  SELECT x AS rep, sum(copies) AS others FROM edges GROUP BY x
+), placed AS (
+  SELECT vec_id, class_id, copies - 1 + coalesce(others, 0) AS links FROM clean JOIN nodes USING (v) JOIN classes USING (rep) LEFT JOIN links USING (rep)
 )
-SELECT rep AS vec_id_a, vec_id AS vec_id_b, 1.0::DOUBLE AS cosine FROM clean JOIN reps USING (v) WHERE rep <> vec_id
-UNION ALL
-SELECT a.rep, b.rep, round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 4) FROM reps a JOIN reps b ON a.rep < b.rep AND len(a.v) = len(b.v)
-WHERE list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) >= 0.9
+SELECT d.vec_id, coalesce(class_id, d.vec_id) AS class_id, coalesce(links, 0)::BIGINT AS links
+FROM (SELECT DISTINCT vec_id FROM {table} WHERE vec_id IS NOT NULL) d LEFT JOIN placed p ON d.vec_id = p.vec_id
 """
 
+
+SQL["op3_embedding_near_dedup"] = _classes_sql("embeddings")
+
 SQL["op4_warc_derivatives"] = rf"""
 WITH sources AS (
   SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, md5('response|' || page_id || '|' || coalesce(url, '')) AS h
