@@ -1,3 +1,5 @@
+import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -63,31 +65,76 @@ def test_verbatim_passages_match_wherever_they_stand_in_any_case(spark):
     assert got == {(1, 1), (2, 1), (3, 1), (5, 2), (6, 1)}
 
 
+def test_values_may_coincide_and_one_clash_costs_its_windows_alone(spark):
+    asked = "A farmer has 3 red apples and 5 green pears in a basket under the old tree, and she wants to share all of it with 2 friends by 9 in the morning."
+    same = asked.replace("3", "4").replace("5", "4")
+    clash = asked.replace("3", "4") + " Then 3 come."
+    twice = asked.replace("2 friends", "3 friends")
+    apart = twice.replace("3 red", "6 red").replace("3 friends", "7 friends").replace("5 green", "8 green")
+    docs = [(1, same), (2, clash), (3, apart)]
+    got = {(r.doc_id, r.item_id, r.reparameterised, r.coverage == 1) for r in find(spark, docs, [(1, asked), (2, twice)]).collect()}
+    assert got >= {(1, 1, True, True), (2, 1, True, True), (3, 2, True, False)}
+
+
+def test_names_that_begin_sentences_are_slots(spark):
+    items = [(1, "Tom had 5 red apples."), (2, "Tom had 5 red apples and gave some of them to the poor children. Maria counted what was left after that day.")]
+    docs = [(1, "Anna had 9 red apples."), (2, items[1][1].replace("Tom", "Anna").replace("5", "9").replace("Maria", "Lucy")), (3, "We had 9 red apples."), (4, "The poor had 9 green apples.")]
+    got = {(r.doc_id, r.item_id, r.reparameterised) for r in find(spark, docs, items).collect()}
+    assert got == {(1, 1, True), (2, 2, True), (2, 1, True)}
+
+
+def test_verbatim_copies_of_any_item_are_found(spark):
+    items = [(1, "Alice has 3 apples."), (2, "What is 3 + 4 * 5 - 6?"), (3, "Tom had 5 red apples."), (4, ITEM)]
+    docs = [(i, PADDING + t + " More.") for i, t in items] + [(9, "Alice has 4 apples. What is 3 + 4 * 5 - 7?")]
+    assert {(r.doc_id, r.item_id) for r in find(spark, docs, items).collect()} == {(i, i) for i, _ in items}
+
+
+def tokens_of(text):
+    """(token, slot type) by the rules as written: 0 number, 1 unit, 2 name, 3 capital at a start, None."""
+    out, before = [], "end"
+    for tok in re.findall(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+|[.!?\n]+", text):
+        if tok[0] in ".!?\n":
+            before = "end"
+        elif tok[0] in "0123456789":
+            out.append((tok, 0))
+            before = "num"
+        else:
+            name = tok[0] != tok[0].lower() and (len(tok) == 1 or tok != tok.upper())
+            out.append((tok.lower(), 1 if before == "num" and tok.lower() in D.UNITS else (3 if before == "end" else 2) if name else None))
+            before = "word"
+    return out
+
+
 def brute(docs, items, coverage=D.COVERAGE):
-    memo = D.Tokens()
-    rows = lambda pairs: {i: D.template(t, memo) for i, t in pairs if i is not None and t}
+    """Every document with every item, window by window; no hash and no join."""
+    shown = [{0, 1, 2}, {0, 1, 2, 3}, {0, 1}, set()]
+    view = lambda tokens, kind: [("\0", min(s, 2), w) if s in shown[kind] else (w,) for w, s in tokens]
+    shape = lambda window: [x[:2] if len(x) == 3 else x for x in window]
+    rows = lambda pairs: {i: tokens_of(t) for i, t in pairs if i is not None and t}
     found = set()
-    for i, (bt, bh, bs) in rows(items).items():
-        size = min(D.WINDOW, len(bt))
-        if size < D.SHORTEST:
-            continue
-        canon = lambda t, s: [f"<{k}>" if k >= 0 else w.lower() for w, k in zip(t, s)]
-        bc = canon(bt, bs)
-        usable = [p for p in range(len(bt) - size + 1) if 2 * sum(bs[p : p + size] < 0) >= size]
-        for j, (dt, dh, ds) in rows(docs).items():
-            dc = canon(dt, ds)
-            met = defaultdict(lambda: (set(), set()))
-            for p in usable:
-                for q in range(len(dt) - size + 1):
-                    if dc[q : q + size] == bc[p : p + size]:
-                        met[q - p][0].add(p)
-                        met[q - p][1].update((f"{bs[p + k]}:{bt[p + k].lower()}", f"{ds[q + k]}:{dt[q + k].lower()}") for k in range(size) if bs[p + k] >= 0)
-            spots = set()
-            for at, pairs in met.values():
-                if len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}):
-                    spots |= at
-            if usable and len(spots) >= coverage * len(usable):
-                found.add((j, i, len(spots), len(usable)))
+    documents = rows(docs)
+    for i, item in rows(items).items():
+        size = min(D.WINDOW, len(item))
+        usable = {k: [p for p in range(len(item) - size + 1) if 2 * sum(len(x) == 1 for x in view(item, k)[p : p + size]) >= size] if size >= D.SHORTEST else [] for k in range(3)}
+        if not any(usable.values()) and item:
+            usable, size = {3: [0]}, len(item)
+        for j, doc in documents.items():
+            for kind, starts in sorted(usable.items()):
+                b, d = view(item, kind), view(doc, kind)
+                met = defaultdict(list)
+                for p in starts:
+                    for q in range(len(d) - size + 1):
+                        if shape(d[q : q + size]) == shape(b[p : p + size]):
+                            met[q - p].append(p)
+                spots = set()
+                for off, at in met.items():
+                    pairs = {(b[k][1], b[k][2], d[k + off][2]) for p in at for k in range(p, p + size) if len(b[k]) == 3}
+                    bad = {(t, x) for t, x, y in pairs for u, v, z in pairs if t == u and ((x == v and y != z) or (t == 2 and x != v and y == z))}
+                    bad |= {(t, x) for t, x, y in pairs if t == 2 and x != y and {x, y} & D.OPENERS}
+                    spots |= {p for p in at if not any(len(b[k]) == 3 and (b[k][1], b[k][2]) in bad for k in range(p, p + size))}
+                if starts and len(spots) >= coverage * len(starts):
+                    found.add((j, i, len(spots), len(starts)))
+                    break
     return found
 
 
@@ -99,6 +146,20 @@ def test_brute_force(spark):
     assert (92, 3, 1, 1) in got
 
 
+def test_brute_force_on_random_texts(spark):
+    rng = random.Random(11)
+    words = ["the", "red", "apples", "Tom", "Anna", "Rome", "had", "of", "The", "What", "is", "kg", "m", "3", "4", "5.5", "NASA", ".", "?", "in", "tree", "under", "every"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, text(rng.choice([1, 3, 5, 6, 9, 14, 30]))) for i in range(30)] + [(30, "3 4 5.5 kg 3 4 4 m 3")]
+    docs = [(i, text(rng.choice([0, 4, 40]))) for i in range(20)]
+    for i, t in items:  # altered copies, several in a document
+        changed = " ".join(rng.choice(["3", "4", "5.5"]) if w in "345.5" and rng.random() < 0.5 else rng.choice(["Tom", "Anna", "Rome"]) if w in ("Tom", "Anna", "Rome") else w for w in t.split())
+        docs.append((100 + i, f"{text(3)} {changed} {text(5)} {t}"))
+    got = {(r.doc_id, r.item_id, r.matched, r.total) for r in find(spark, docs, items).collect()}
+    assert got == brute(docs, items)
+    assert len(got) > 40
+
+
 def test_small_bitmap_changes_nothing(spark):
     docs = [(k, text) for k, (text, _, _) in enumerate(CASES.values())]
     assert find(spark, docs, [item()], bits=8).collect().__len__() == find(spark, docs, [item()]).count()

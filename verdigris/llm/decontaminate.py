@@ -5,15 +5,18 @@ a number into <UNIT>, a capitalised word that doesn't begin a sentence into
 <NAME>; every other word is lower-cased. Windows of ``WINDOW`` consecutive
 template tokens, at least half of them literal, are joined by hash between
 documents and benchmark items. A document and an item that meet at one alignment
-(offset) are consistent there if the replaced values correspond one to one, type
-by type: "3 ... 3" may become "7 ... 7" but not "7 ... 8". A document leaks an
-item if windows at consistent alignments cover at least ``COVERAGE`` of the
+(offset) must be consistent there: an item's value has one value in the document,
+and two names don't become one ("3 ... 3" may become "7 ... 7" but not "7 ... 8",
+"3 ... 5" may become "4 ... 4"). A word of ``OPENERS`` is no name and stands for
+itself. Windows that hold a value that breaks this are dropped. A document leaks
+an item if the windows left at any alignment cover at least ``COVERAGE`` of the
 item's windows.
 
-What counts as a name depends on what stands before it. Where the template leaks
-nothing, windows are therefore compared with names as literals, whatever their
-case. An item without a usable window (slot-heavy, or shorter than ``SHORTEST``)
-is searched as a whole, each of its tokens literal, so that copies are found.
+Whether a capitalised word at the start of a sentence is a name can't be told, so
+windows are compared in three readings: with such words as literals, with them as
+names, and with all names as literals, whatever their case. An item without a
+usable window in any reading (slot-heavy, or shorter than ``SHORTEST``) is searched as
+a whole, each of its tokens literal, so that copies are found.
 
 Documents' windows pass a bitmap of the benchmark's hashes before they leave
 their task, so the join sees few of them; the bitmap's size is a parameter and
@@ -47,8 +50,18 @@ UNITS = frozenset(
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years cent cents dollar dollars euro euros usd eur "
     "percent degree degrees mph kmh kph w kw kwh v hz khz mhz ghz kb mb gb tb".split()
 )
-#: Numbers, words, ends of sentences.
-TOKEN = re.compile(r"[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+|[.!?\n]+")
+#: Words that open sentences and questions and are never names.
+OPENERS = frozenset(
+    "a an the this that these those there here it its he she they we you i his her their our your my who whom whose what which when where why how "
+    "is are was were be been am do does did can could will would shall should may might must has have had let if and or but so then thus as at by for from in into of on to "
+    "with without after before during since until while because although though each every all any some many most more no not nor both either one two three "
+    "find compute calculate determine evaluate solve given suppose assume consider name list write choose explain describe add "
+    "der die das ein eine wer was wann wo warum wie ist sind in im am el la los las un una qué quién cuándo dónde cómo es son en le les une qui que quand où comment est sont dans".split()
+)
+#: Words, numbers, ends of sentences.
+TOKEN = re.compile(r"[^\W\d_]+|[0-9]+(?:[.,][0-9]+)*|[.!?\n]+")
+#: Tokens whose windows are hashed at once.
+BLOCK = 1 << 16
 
 _NUM, _LITERAL, _END = 0, 1, 2
 _M = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(64)]
@@ -85,45 +98,50 @@ class Tokens(dict):
         return row
 
 
-_SLOT_HASH = np.array([xxhash.xxh3_64_intdigest(x) for x in ("\0NUM", "\0UNIT", "\0NAME")], np.uint64)
-
-
-#: How windows are compared: by template, with names as literals, with all tokens as literals.
-TEMPLATE, FOLDED, VERBATIM = 0, 1, 2
-
+#: Number, unit, name, capitalised word at the start of a sentence.
+NUM, UNIT, NAME, START = 0, 1, 2, 3
+_SLOT_HASH = np.array([xxhash.xxh3_64_intdigest(x) for x in ("\0NUM", "\0UNIT", "\0NAME", "\0NAME")], np.uint64)
 
-def template(text: str, memo: Tokens) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Tokens without sentence ends, their hashes, and their slot type: 0 number,
-    1 unit, 2 name, -1 literal."""
-    tokens, plain, slot = literals(text, memo)
-    return tokens, np.where(slot >= 0, _SLOT_HASH[slot], plain), slot
+#: How windows are compared: by template, with capitals that begin sentences as
+#: names too, with names as literals, with all tokens as literals.
+TEMPLATE, TITLED, FOLDED, VERBATIM = 0, 1, 2, 3
+#: The last slot type that each of them replaces.
+REPLACED = (NAME, START, UNIT, -1)
 
 
 def reading(kind: int, plain: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and slot types of the tokens as ``kind`` compares them."""
-    slot = np.where(slot > (2, 1, -1)[kind], np.int8(-1), slot)
+    """Hashes and slot types of the tokens as ``kind`` compares them; a type of -1
+    is a literal."""
+    slot = np.where(slot > REPLACED[kind], np.int8(-1), slot)
     return np.where(slot >= 0, _SLOT_HASH[slot], plain), slot
 
 
-def literals(text: str, memo: Tokens) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """As ``template``, with every token's own hash."""
-    tokens = TOKEN.findall(text)
+def literals(texts: list[str], memo: Tokens) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' tokens without sentence ends, one after the other, their own
+    hashes and slot types, and where each text's begin (and the last one's end)."""
+    tokens: list[str] = []
+    ends = [0]
+    for text in texts:
+        tokens.append("\n")  # a text begins a sentence
+        tokens += TOKEN.findall(text)
+        ends.append(len(tokens))
     rows = np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens))
     kind = memo.kind[rows]
     before = np.concatenate([np.array([_END], np.int8), kind[:-1]])
     slot = np.full(len(rows), -1, np.int8)
-    slot[memo.capital[rows] & (before != _END)] = 2
-    slot[memo.unit[rows] & (before == _NUM)] = 1
-    slot[kind == _NUM] = 0
-    hashes = memo.hash[rows]
+    slot[memo.capital[rows]] = NAME
+    slot[(slot == NAME) & (before == _END)] = START
+    slot[memo.unit[rows] & (before == _NUM)] = UNIT
+    slot[kind == _NUM] = NUM
     inside = kind != _END
-    if not inside.all():
-        tokens = [tokens[i] for i in np.flatnonzero(inside)]
-    return tokens, hashes[inside], slot[inside]
+    starts = np.concatenate([[0], np.cumsum(inside)])[ends]
+    at = np.flatnonzero(inside)
+    return [tokens[i] for i in at], memo.hash[rows[at]], slot[at], starts
 
 
 def windows(hashes: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of ``size`` with at least half literals."""
+    """Starts and hashes of the windows of ``size`` with at least half literals,
+    those across the border of two texts included."""
     count = len(hashes) - size + 1
     if count <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -140,7 +158,7 @@ def windows(hashes: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray
 
 
 def _slots(tokens: list[str], slot: np.ndarray, start: int, size: int) -> list[str]:
-    return [f"{int(slot[i])}:{tokens[i].lower()}" for i in range(start, start + size) if slot[i] >= 0]
+    return [f"{min(int(slot[i]), NAME)}:{tokens[i].lower()}" for i in range(start, start + size) if slot[i] >= 0]
 
 
 def _rows(key: list, columns: list[list]) -> pa.RecordBatch:
@@ -158,12 +176,10 @@ def _item_windows(window: int, shortest: int):
             key: list = []
             cols: list[list] = [[], [], [], [], [], []]
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens, plain, slots = literals(text, memo)
-                size = min(window, len(tokens))
+                tokens, plain, slots, _ = literals([text], memo)
                 usable = False
-                for kind in (TEMPLATE, FOLDED, VERBATIM):
-                    if kind == VERBATIM:
-                        size = len(tokens)
+                for kind in (TEMPLATE, TITLED, FOLDED, VERBATIM):
+                    size = len(tokens) if kind == VERBATIM else min(window, len(tokens))
                     if not size or (kind == VERBATIM and usable) or (kind != VERBATIM and size < shortest):
                         continue
                     hashes, slot = reading(kind, plain, slots)
@@ -183,24 +199,39 @@ def _doc_windows(shared, sizes: list[tuple[int, int]], bits: int):
         bitmap = np.frombuffer(shared.value, np.uint8)
         shift = np.uint64(64 - bits)
         memo = Tokens()
-        for batch in batches:
+
+        def found(docs: list, texts: list[str]) -> pa.RecordBatch:
+            if len(memo) >= MEMO:
+                memo.start()
+            tokens, plain, slots, begins = literals(texts, memo)
             key: list = []
             cols: list[list] = [[], [], [], [], [], []]
+            readings = {kind: reading(kind, plain, slots) for kind, _ in sizes}
+            for kind, size in sizes:
+                hashes, slot = readings[kind]
+                starts, values = windows(hashes, slot, size)
+                at = values >> shift
+                hit = np.flatnonzero((bitmap[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+                text = np.searchsorted(begins, starts[hit], "right") - 1
+                whole = starts[hit] + size <= begins[text + 1]
+                for p, h, t in zip(starts[hit][whole].tolist(), values[hit][whole].view(np.int64).tolist(), text[whole].tolist()):
+                    key.append(docs[t])
+                    for c, v in zip(cols, (kind, size, p - int(begins[t]), 0, h, _slots(tokens, slot, p, size))):
+                        c.append(v)
+            return _rows(key, cols)
+
+        for batch in batches:
+            docs: list = []
+            texts: list[str] = []
+            long = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if len(memo) >= MEMO:
-                    memo.start()
-                tokens, plain, slots = literals(text.as_py(), memo)
-                kinds = {kind: reading(kind, plain, slots) for kind, _ in sizes}
-                for kind, size in sizes:
-                    hashes, slot = kinds[kind]
-                    starts, values = windows(hashes, slot, size)
-                    at = values >> shift
-                    hit = np.flatnonzero((bitmap[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
-                    for p, h in zip(starts[hit].tolist(), values[hit].view(np.int64).tolist()):
-                        key.append(doc)
-                        for c, v in zip(cols, (kind, size, p, 0, h, _slots(tokens, slot, p, size))):
-                            c.append(v)
-            yield _rows(key, cols)
+                docs.append(doc)
+                texts.append(text.as_py())
+                long += len(texts[-1])
+                if long >= 4 * BLOCK:  # about BLOCK tokens at most
+                    yield found(docs, texts)
+                    docs, texts, long = [], [], 0
+            yield found(docs, texts)
 
     return work
 
@@ -211,8 +242,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     document that leaks an item.
 
     Items shorter than the window are searched by one window of their own length.
-    A pair that leaks by its template has the template's counts; otherwise those
-    with names as literals, or 1 of 1 for an item that is searched verbatim.
+    A pair has the counts of the first reading in which it leaks; an item that is
+    searched verbatim has 1 of 1.
     Null ids, and null or empty texts on either side, match nothing. Rows that
     repeat an id count as one document or item. Empty tables give no rows.
     ``reparameterised`` says that a replaced value differs from the item's.
@@ -239,19 +270,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     )
     met = found.join(items.select(F.col("id").alias("item_id"), "kind", "size", F.col("pos").alias("ipos"), "total", "hash", F.col("slots").alias("islots")), ["kind", "size", "hash"])
     met = met.where("size(dslots) = size(islots)").withColumn("offset", F.col("dpos") - F.col("ipos"))
+    # an alignment has no more windows than the item
+    aligned = met.groupBy("kind", "doc_id", "item_id", "offset").agg(F.collect_set(F.struct("ipos", "islots", "dslots")).alias("w"), F.max("total").alias("total"))
+    openers = ", ".join(f"'{NAME}:{w}'" for w in sorted(OPENERS))
     # a slot pair: the item's value and the document's, both with their type
-    aligned = met.groupBy("kind", "doc_id", "item_id", "offset").agg(
-        F.collect_set("ipos").alias("at"),
-        F.max("total").alias("total"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("islots", "dslots")))).alias("pairs"),
-    )
-    consistent = aligned.where(
-        (F.size("pairs") == F.size(F.array_distinct("pairs.islots"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.dslots")))
-    )
-    joined = consistent.groupBy("kind", "doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint").alias("matched"),
+    aligned = aligned.withColumn("pairs", F.expr("array_distinct(flatten(transform(w, x -> arrays_zip(x.islots, x.dslots))))"))
+    aligned = aligned.withColumn("broken", F.expr(f"""transform(filter(pairs, p ->
+        exists(pairs, q -> q.islots = p.islots AND q.dslots <> p.dslots OR q.dslots = p.dslots AND q.islots <> p.islots AND p.islots LIKE '{NAME}:%')
+        OR p.islots <> p.dslots AND (p.islots IN ({openers}) OR p.dslots IN ({openers}))), p -> p.islots)"""))
+    kept = aligned.withColumn("w", F.expr("filter(w, x -> NOT arrays_overlap(x.islots, broken))")).where("size(w) > 0")
+    joined = kept.groupBy("kind", "doc_id", "item_id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("w.ipos")))).cast("bigint").alias("matched"),
         F.max("total").cast("bigint").alias("total"),
-        F.bool_or(F.exists("pairs", lambda p: p["islots"] != p["dslots"])).alias("reparameterised"),
+        F.bool_or(F.expr("exists(w, x -> x.islots <> x.dslots)")).alias("reparameterised"),
     )
     share = F.col("matched") / F.col("total")
     reached = joined.where(share >= coverage).groupBy("doc_id", "item_id").agg(F.min_by(F.struct("matched", "total", "reparameterised"), "kind").alias("r"))
@@ -259,5 +290,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that leak an item; rows with a null id stay."""
+    """``docs`` without the documents that leak an item. Rows with a null id, and
+    null or empty texts, stay; of rows that repeat an id all go if one leaks. An empty table on
+    either side removes nothing. Extra columns pass through untouched."""
     return without(docs, leaks(docs, benchmark, id_col, **options).select("doc_id"), id_col)
