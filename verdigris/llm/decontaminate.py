@@ -275,9 +275,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     openers = ", ".join(f"'{NAME}:{w}'" for w in sorted(OPENERS))
     # a slot pair: the item's value and the document's, both with their type
     aligned = aligned.withColumn("pairs", F.expr("array_distinct(flatten(transform(w, x -> arrays_zip(x.islots, x.dslots))))"))
-    aligned = aligned.withColumn("broken", F.expr(f"""transform(filter(pairs, p ->
+    # every break has a changed value in it, which copies don't have
+    aligned = aligned.withColumn("broken", F.expr(f"""IF(NOT exists(pairs, p -> p.islots <> p.dslots), CAST(array() AS array<string>), transform(filter(pairs, p ->
         exists(pairs, q -> q.islots = p.islots AND q.dslots <> p.dslots OR q.dslots = p.dslots AND q.islots <> p.islots AND p.islots LIKE '{NAME}:%')
-        OR p.islots <> p.dslots AND (p.islots IN ({openers}) OR p.dslots IN ({openers}))), p -> p.islots)"""))
+        OR p.islots <> p.dslots AND (p.islots IN ({openers}) OR p.dslots IN ({openers}))), p -> p.islots))"""))
     kept = aligned.withColumn("w", F.expr("filter(w, x -> NOT arrays_overlap(x.islots, broken))")).where("size(w) > 0")
     joined = kept.groupBy("kind", "doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("w.ipos")))).cast("bigint").alias("matched"),

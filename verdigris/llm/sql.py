@@ -112,16 +112,21 @@ _URN = "'<urn:uuid:' || concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), sub
 
 
 def _decoded(x: str) -> str:
-    for entity, plain in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&amp;", "'&'")):
+    """Numeric references, then named ones, of the SQL text ``x``."""
+    pattern = r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+    point = "(CASE WHEN lower(r[1]) = 'x' THEN ('0x' || r[2:])::BIGINT ELSE r::BIGINT END)"
+    char = f"coalesce(CASE WHEN {point} > 0 AND {point} <= 1114111 AND NOT {point} BETWEEN 55296 AND 57343 THEN chr({point}::INTEGER) ELSE chr(65533) END, '')"
+    x = (f"(SELECT string_agg(p || CASE WHEN r IS NULL THEN '' ELSE {char} END, '' ORDER BY i) FROM (SELECT unnest(regexp_split_to_array({x}, '{pattern}')) AS p, "
+         f"unnest(regexp_extract_all({x}, '{pattern.replace('(?:', '(')}', 1)) AS r, generate_subscripts(regexp_split_to_array({x}, '{pattern}'), 1) AS i))")
+    for entity, plain in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&apos;", "chr(39)"), ("&amp;", "'&'")):
         x = f"replace({x}, '{entity}', {plain})"
     return x
 
 
-_HIDDEN = r"(?is)<!--.*?-->|<head\b.*?</head\s*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>"
-_BREAKS = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|article|section|header|footer|main|aside|nav|blockquote|pre|form)\b[^>]*>"
-_PLAIN = _decoded(f"regexp_replace(regexp_replace(regexp_replace(payload, '{_HIDDEN}', ' ', 'g'), '{_BREAKS}', chr(10), 'g'), '<[^>]*>', '', 'g')")
-_PLAIN = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
-_TITLE = _decoded(r"regexp_extract(payload, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)")
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)" + "".join(rf"|<{e}\b.*?(?:</{e}\s*>|\z)" for e in ("title", "script", "style", "noscript", "template"))
+_BREAKS = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|article|section|header|footer|main|aside|nav|blockquote|pre|form)\b[^>]*(?:>|\z)"
+_BARE = f"regexp_replace(regexp_replace(regexp_replace(payload, '{_HIDDEN}', ' ', 'g'), '{_BREAKS}', chr(10), 'g'), '<[A-Za-z/!?][^>]*(?:>|\\z)', '', 'g')"
+_PLAIN = rf"regexp_replace(regexp_replace(regexp_replace({_decoded('bare')}, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 
 
 def _classes_sql(table: str) -> str:
@@ -154,11 +159,13 @@ SQL["op4_warc_derivatives"] = rf"""
 WITH sources AS (
   SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload, md5('response|' || page_id || '|' || coalesce(url, '')) AS h
   FROM pages WHERE page_id IS NOT NULL
+), bared AS (
+  SELECT *, {_BARE} AS bare, regexp_extract(payload, '(?is)<title\b[^>]*(?:>|\z)(.*?)(?:</title\s*>|\z)', 1) AS rawtitle FROM sources
 ), base AS (
   SELECT page_id, target_uri, {_URN.format(h='h')} AS source_id, 'sha256:' || sha256(payload) AS source_digest, strlen(payload) AS source_length,
-    {_PLAIN} AS text, regexp_replace({_TITLE}, '[ \t\r\n\f]+', ' ', 'g') AS title,
-    lower(regexp_extract(payload, '(?i)<html\b[^>]*\blang\s*=\s*["'']?([A-Za-z-]+)', 1)) AS html_lang,
-    len(regexp_extract_all(payload, '(?i)<a\b[^>]*\bhref\s*=')) AS links FROM sources
+    {_PLAIN} AS text, regexp_replace({_decoded('rawtitle')}, '[ \t\r\n\f]+', ' ', 'g') AS title,
+    lower(regexp_extract(payload, '(?i)<html\b[^<>]*\blang\s*=\s*["'']?([A-Za-z-]+)', 1)) AS html_lang,
+    len(regexp_extract_all(payload, '(?i)<a\b[^<>]*\bhref\s*=')) AS links FROM bared
 ), ids AS (
   SELECT *, md5('conversion|' || source_id) AS hc, md5('metadata|' || source_id) AS hm FROM base
 ), linked AS (
@@ -175,7 +182,7 @@ WITH sources AS (
 )
 SELECT page_id, record_type, record_id, source_id AS refers_to, target_uri, content_type, content_length, block_digest, source_digest,
   e'WARC/1.1\r\nWARC-Type: ' || record_type || e'\r\nWARC-Record-ID: ' || record_id || e'\r\nWARC-Date: 2026-01-01T00:00:00Z\r\nWARC-Refers-To: ' || source_id
-  || e'\r\nWARC-Target-URI: ' || target_uri || e'\r\nWARC-Payload-Digest: ' || source_digest || e'\r\nWARC-Block-Digest: ' || block_digest
+  || e'\r\nWARC-Target-URI: ' || target_uri || e'\r\nWARC-Block-Digest: ' || block_digest || e'\r\nX-Source-Payload-Digest: ' || source_digest
   || e'\r\nContent-Type: ' || content_type || e'\r\nContent-Length: ' || content_length || e'\r\n\r\n' AS header, block
 FROM measured
 """

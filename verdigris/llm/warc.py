@@ -5,6 +5,10 @@ with the page's visible text, and a metadata record with what is known of the
 response, which also names the conversion. Identifiers are derived from the
 response's, so that a second run gives the same records. Target, date and the
 source's headers and payload digest are preserved.
+
+Markup is taken out by patterns that always match once they have begun: what is
+left open ends with the text, as in HTML. So no position is scanned twice, and
+time is in proportion to the text's length whatever it holds.
 """
 
 from __future__ import annotations
@@ -12,27 +16,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Date and status of pages that come without them.
 DATE = "2026-01-01T00:00:00Z"
-#: Markup without visible text, taken out whole.
-HIDDEN = r"(?is)<!--.*?-->|<head\b.*?</head\s*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>"
+STATUS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
+#: Elements without visible text.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)" + "".join(rf"|<{e}\b.*?(?:</{e}\s*>|\z)" for e in ("title", "script", "style", "noscript", "template"))
 #: Tags that end a line.
-BREAKS = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|article|section|header|footer|main|aside|nav|blockquote|pre|form)\b[^>]*>"
-TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-LANG = r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([A-Za-z-]+)"""
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+BREAKS = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|article|section|header|footer|main|aside|nav|blockquote|pre|form)\b[^>]*(?:>|\z)"
+TAG = r"<[A-Za-z/!?][^>]*(?:>|\z)"
+TITLE = r"(?is)<title\b[^>]*(?:>|\z)(.*?)(?:</title\s*>|\z)"
+LANG = r"""(?i)<html\b[^<>]*\blang\s*=\s*["']?([A-Za-z-]+)"""
+LINK = r"(?i)<a\b[^<>]*\bhref\s*="
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+#: References to characters by decimal or hexadecimal number.
+NUMERIC = r"&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+
+
+def _numeric(text: Column) -> Column:
+    """Numeric references replaced; those that name no character by U+FFFD."""
+    parts, refs = F.split(text, NUMERIC, -1), F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(1))
+
+    def character(ref: Column) -> Column:
+        point = F.when(F.lower(F.substring(ref, 1, 1)) == "x", F.conv(F.substring(ref, F.lit(2), F.length(ref)), 16, 10)).otherwise(ref).cast("bigint")
+        point = F.when((point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF), point).otherwise(0xFFFD)
+        return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+    whole = F.array_join(F.zip_with(parts, refs, lambda p, r: F.concat(p, F.coalesce(character(r), F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&#")), whole).otherwise(text)
 
 
 def _decoded(text: Column) -> Column:
+    text = _numeric(text)
     for entity, plain in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(plain))
     return text
 
 
 def plain_text(html: Column) -> Column:
-    """Visible text, a line per block; named entities of HTML's core are decoded."""
+    """Visible text, a line per block; HTML's core entities and numeric references are decoded."""
     text = F.regexp_replace(html, HIDDEN, " ")
     text = F.regexp_replace(text, BREAKS, "\n")
-    text = _decoded(F.regexp_replace(text, r"<[^>]*>", ""))
+    text = _decoded(F.regexp_replace(text, TAG, ""))
     text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
@@ -44,19 +68,22 @@ def urn(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
+def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", header_col: str | None = None, date_col: str | None = None) -> DataFrame:
     """Crawled pages as response records: ``page_id, record_id, target_uri,
-    warc_date, http_header, payload``. A null page counts as an empty payload,
-    a null URL as ''; rows with a null id are left out."""
+    warc_date, http_header, payload``. A null page counts as an empty payload, a
+    null URL as ''; rows with a null id are left out, and an empty table gives an
+    empty one. Header and date are those of the page where columns for them are
+    named; where there is none, or it is null, ``STATUS`` and ``DATE`` stand in."""
+    given = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"),
         F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("target_uri"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"),
+        given(header_col).alias("header"), given(date_col).alias("date"),
     ).where("page_id IS NOT NULL")
-    header = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"))
     return rows.select(
         "page_id", urn(F.lit("response"), F.col("page_id").cast("string"), F.col("target_uri")).alias("record_id"), "target_uri",
-        F.lit(date).alias("warc_date"), header.alias("http_header"), "payload",
+        F.coalesce("date", F.lit(DATE)).alias("warc_date"), F.coalesce("header", F.concat(F.lit(STATUS), F.octet_length("payload").cast("string"))).alias("http_header"), "payload",
     )
 
 
@@ -65,7 +92,9 @@ def derive(sources: DataFrame) -> DataFrame:
     content_length, block_digest, source_digest, header, block)``, two rows a response.
 
     Empty payloads give an empty conversion. Repeated responses give repeated
-    records with equal identifiers. Texts are converted whole.
+    records with equal identifiers, an empty table an empty one. Texts are
+    converted whole. A record's own digest is that of its block; the source's is
+    kept beside it as an extension field.
     """
     digest = lambda c: F.concat(F.lit("sha256:"), F.sha2(c, 256))
     base = sources.select(
@@ -75,7 +104,7 @@ def derive(sources: DataFrame) -> DataFrame:
         plain_text(F.col("payload")).alias("text"),
         F.regexp_replace(_decoded(F.regexp_extract("payload", TITLE, 1)), r"[ \t\r\n\f]+", " ").alias("title"),
         F.lower(F.regexp_extract("payload", LANG, 1)).alias("html_lang"),
-        F.regexp_count("payload", F.lit(r"(?i)<a\b[^>]*\bhref\s*=")).cast("bigint").alias("links"),
+        F.regexp_count("payload", F.lit(LINK)).cast("bigint").alias("links"),
     )
     linked = base.withColumn("conversion_id", urn(F.lit("conversion"), F.col("record_id"))).withColumn("metadata_id", urn(F.lit("metadata"), F.col("record_id")))
     fields = F.concat(
@@ -91,8 +120,8 @@ def derive(sources: DataFrame) -> DataFrame:
     ).select("*", "r.*").withColumn("content_length", F.octet_length("block").cast("bigint")).withColumn("block_digest", digest(F.col("block")))
     header = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), "record_type", F.lit("\r\nWARC-Record-ID: "), "new_id", F.lit("\r\nWARC-Date: "), "warc_date",
-        F.lit("\r\nWARC-Refers-To: "), "record_id", F.lit("\r\nWARC-Target-URI: "), "target_uri", F.lit("\r\nWARC-Payload-Digest: "), "source_digest",
-        F.lit("\r\nWARC-Block-Digest: "), "block_digest", F.lit("\r\nContent-Type: "), "content_type", F.lit("\r\nContent-Length: "), F.col("content_length").cast("string"), F.lit("\r\n\r\n"),
+        F.lit("\r\nWARC-Refers-To: "), "record_id", F.lit("\r\nWARC-Target-URI: "), "target_uri", F.lit("\r\nWARC-Block-Digest: "), "block_digest",
+        F.lit("\r\nX-Source-Payload-Digest: "), "source_digest", F.lit("\r\nContent-Type: "), "content_type", F.lit("\r\nContent-Length: "), F.col("content_length").cast("string"), F.lit("\r\n\r\n"),
     )
     return each.select(
         "page_id", "record_type", F.col("new_id").alias("record_id"), F.col("record_id").alias("refers_to"), "target_uri", "content_type",
