@@ -132,3 +132,51 @@ def test_empty_and_null_documents_count(spark):
     assert (empty.num_docs, empty.num_terms) == (0, 0)
     assert S.search_one(empty, "a").collect() == []
     assert empty.corpus.first().avdl is None
+
+
+def test_repeated_and_missing_keys(spark):
+    twice = spark.createDataFrame([(1, "a b"), (1, "a c c")], "doc_id bigint, text string")
+    with pytest.raises(I.DuplicateDocument):
+        I.build_index(twice)
+    with pytest.raises(ValueError):
+        I.build_index(spark.createDataFrame([(None, "a")], "doc_id bigint, text string"))
+    named = spark.createDataFrame([(1, "x", "a"), (2, "x", "b")], "doc_id bigint, slug string, text string")
+    with pytest.raises(I.DuplicateDocument):
+        I.build_index(named, slug_col="slug")
+
+
+def test_id_of_another_slug(spark):
+    base = I.build_index(spark.createDataFrame([(1, "x", "a")], "doc_id bigint, slug string, text string"), slug_col="slug")
+    more = spark.createDataFrame([(1, "y", "b")], "doc_id bigint, slug string, text string")
+    for overwrite in (False, True):
+        with pytest.raises(I.DuplicateDocument):
+            I.add_documents(base, more, slug_col="slug", allow_overwrite=overwrite)
+
+
+def test_stored_tables_equal_the_lazy_ones(spark):
+    rows = [(1, "one", "lines line a"), (2, "two", None), (3, "three", ""), (4, "four", "a a a")]
+    index = I.build_index(spark.createDataFrame(rows, "doc_id bigint, slug string, text string"), slug_col="slug")
+    kept = index.stored()
+    for table in ("postings", "doc_stats", "term_stats", "corpus"):
+        lazy, stored = getattr(index, table), getattr(kept, table)
+        assert sorted(map(str, lazy.collect())) == sorted(map(str, stored.select(*lazy.columns).collect()))
+    assert kept.num_docs == 4 and not kept.has_document("five")
+
+
+def test_late_rebinding(spark):
+    from verdigris.functions.analysis import Analyzer, NoStemmer
+
+    index = I.build_index(spark.createDataFrame([(1, "hoping")], "doc_id bigint, text string"))
+    assert [r.slug for r in S.search_one(index, "hoping").collect()] == ["1"]
+    bare = I.with_analyzer(index, Analyzer(stemmer=NoStemmer()))
+    assert S.search_one(bare, "hoping").collect() == []
+    assert [r.slug for r in S.search_one(bare, "hope").collect()] == ["1"]
+    more = I.add_documents(bare, spark.createDataFrame([(2, "hoping")], "doc_id bigint, text string"))
+    assert [r.slug for r in S.search_one(more, "hoping").collect()] == ["2"]
+
+
+def test_many_terms_are_joined(spark, index, monkeypatch):
+    asked = spark.createDataFrame([(0, "APPLE CACTUS"), (1, "FIG")], "query_id int, text string")
+    want = sorted(map(tuple, S.scores(index, asked, Bm25Scorer()).collect()))
+    monkeypatch.setattr(S, "FEW", 0)
+    assert sorted(map(tuple, S.scores(index, asked, Bm25Scorer()).collect())) == want

@@ -3,10 +3,11 @@ import pytest
 from verdigris.functions.analysis import AlphanumericTokenizer, Analyzer, NoStemmer, PandasTokenizer, Stopper
 from verdigris.operators.index import build_index
 from verdigris.operators.search import search_one
-from verdigris.plans.catalogue import PLAY
 from verdigris.sources import files, plays, store
 from verdigris.streaming.ingest import ingest, open_ingested
 
+PLAY = "ACT I\nSCENE I. a foo\nCHORUS.\nbar ACT II PROLOGUE.\nzz SCENE 2 qq EPILOGUE.\nend"
+
 
 def test_files(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
@@ -123,3 +124,27 @@ def test_stream(spark, tmp_path):
     index = open_ingested(spark, path)
     assert (index.num_docs, index.num_terms) == (1, 2)
     assert [r.slug for r in search_one(index, "new").collect()] == ["1"]
+
+
+def test_vacuum_spares_what_is_being_written(spark, tmp_path):
+    path = str(tmp_path / "store")
+    index = build_index(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"))
+    first = store.save(index, path)
+    (tmp_path / "store" / "v-unfinished").mkdir()
+    store.save(index, path)
+    assert store.vacuum(spark, path) == [first]
+    assert (tmp_path / "store" / "v-unfinished").exists()
+
+
+def test_scope_deletes_what_it_wrote(spark):
+    from pathlib import Path
+
+    from verdigris.sources import scratch
+
+    where = Path(scratch.fresh_path(spark)).parent
+    before = {p.name for p in where.iterdir()} if where.exists() else set()
+    with scratch.scope(spark):
+        inner = scratch.durable(spark.range(3))
+        kept = scratch.durable(inner, outlives=True)
+    assert kept.count() == 3
+    assert len({p.name for p in where.iterdir()} - before) == 1

@@ -172,7 +172,8 @@ def participle(word: Column) -> Column:
 
 def verbal(word: Column) -> Column:
     """Second step: -eed before -ed, whichever applies."""
-    return F.when(~word.rlike("(d|ng|dly|ngly)$"), word).otherwise(F.coalesce(eed(word), participle(word), word))
+    ends = [word.endswith(x) for x in ("ed", "ing", "edly", "ingly")]
+    return F.when(~(ends[0] | ends[1] | ends[2] | ends[3]), word).otherwise(F.coalesce(eed(word), participle(word), word))
 
 
 class PorterStemmer(Stemmer):
@@ -197,17 +198,25 @@ class Analyzer:
         """Tokens left after stopping, in order."""
         return self.stopper.kept(self.tokenizer.tokens(text))
 
-    def terms(self, df: DataFrame, text: str, *keep: str) -> DataFrame:
+    def terms(self, df: DataFrame, text: str, *keep: str, head: str | None = None) -> DataFrame:
         """``keep`` columns with ``pos``, ``term`` and the document's length
-        ``dl``, a row a token; positions count from 0 after stopping."""
-        # outer, since for an inner one Spark would tokenize a second time, to
-        # filter out texts without tokens beforehand
+        ``dl``, a row a token; positions count from 0 after stopping. With
+        ``head``, every text has a row of this term at position -1 besides."""
         rows = df.select(*keep, self.tokens(F.col(text)).alias("__tokens"))
-        rows = rows.select(*keep, F.size("__tokens").cast("bigint").alias("dl"), F.posexplode_outer("__tokens").alias("pos", "term")).where("pos IS NOT NULL")
+        size = F.size("__tokens").cast("bigint").alias("dl")
+        if head is None:
+            # outer, since for an inner one Spark would tokenize a second time, to
+            # filter out texts without tokens beforehand
+            rows = rows.select(*keep, size, F.posexplode_outer("__tokens").alias("pos", "term")).where("pos IS NOT NULL")
+        else:
+            rows = rows.select(*keep, size, F.posexplode(F.concat(F.array(F.lit(head)), "__tokens")).alias("pos", "term")).withColumn("pos", F.col("pos") - 1)
         # a projection a step, lest the steps' expressions multiply
         for step in self.stemmer.steps():
             rows = rows.withColumn("term", step(F.col("term")))
-        return rows
+        # never null, which the planner would else have each join on terms check
+        # by a filter that holds all steps at once
+        term = F.coalesce("term", F.lit(""))
+        return rows.withColumn("term", term if head is None else F.when(F.col("pos") < 0, head).otherwise(term))
 
     def manifest(self) -> str:
         return json.dumps(self.tokenizer.manifest() | self.stopper.manifest() | self.stemmer.manifest(), sort_keys=True)

@@ -18,6 +18,10 @@ from verdigris.operators.search import search_one
 from verdigris.sources import files, store
 
 
+#: Characters of new texts that are gathered before they are indexed.
+GATHERED = 1 << 26
+
+
 class SearchResult(NamedTuple):
     slug: str
     score: float
@@ -37,6 +41,7 @@ class SearchEngine:
         self._index = store.load(spark, self._path, self.analyzer if given else None) if native else store.import_json(spark, self._path, self.analyzer)
         self.analyzer = self._index.analyzer
         self._new: dict[str, str] = {}
+        self._size = 0
         self._gone: set[str] = set()
 
     @property
@@ -52,8 +57,8 @@ class SearchEngine:
             self._gone = set()
         if self._new:
             rows = files.with_ids(self.spark.createDataFrame(list(self._new.items()), "slug string, text string"))
-            self._index = add_documents(self._index, rows, slug_col="slug", allow_overwrite=True).persist()
-            self._new = {}
+            self._index = add_documents(self._index, rows, slug_col="slug", allow_overwrite=True).stored()
+            self._new, self._size = {}, 0
         return self._index
 
     @property
@@ -71,6 +76,9 @@ class SearchEngine:
         if self.has_document(slug) and not allow_overwrite:
             raise DuplicateDocument(f"already indexed: {slug}")
         self._new[slug] = text
+        self._size += len(text)
+        if self._size > GATHERED:
+            _ = self.index
 
     def index_file(self, path: str | Path, slug: str, encoding: str | None = None, allow_overwrite: bool = False) -> None:
         row = files.read_documents(self.spark, str(path), encoding).first()
@@ -83,7 +91,7 @@ class SearchEngine:
         self._gone.add(slug)
 
     def clear_all_data(self) -> None:
-        self._index, self._new, self._gone = clear(self._index), {}, set()
+        self._index, self._new, self._size, self._gone = clear(self._index), {}, 0, set()
 
     def search(self, query: str, k: int | None = None, scorer: Scorer | None = None) -> list[SearchResult]:
         return [SearchResult(r["slug"], r["score"]) for r in search_one(self.index, query, scorer or self.scorer, k).collect()]

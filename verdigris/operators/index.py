@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.analysis import Analyzer
+from verdigris.sources.scratch import durable
 
 POSTINGS = "term string, doc_id bigint, tf bigint, dl bigint, positions array<int>"
 DOC_STATS = "doc_id bigint, slug string, num_terms bigint"
@@ -37,6 +38,8 @@ class SearchIndex:
     #: Tables of a stored version; derived when missing.
     stored_term_stats: DataFrame | None = None
     stored_corpus: DataFrame | None = None
+    #: Postings and documents (of term ``DOCUMENT``) as one pass gives them.
+    rows: DataFrame | None = None
 
     @cached_property
     def term_stats(self) -> DataFrame:
@@ -98,25 +101,54 @@ class SearchIndex:
         for table in (self.postings, self.doc_stats, self.term_stats, self.corpus):
             table.unpersist()
 
+    def stored(self) -> SearchIndex:
+        """The index with its tables written to the shared folder: what was built
+        in one pass is read twice, and changes don't add to a growing plan."""
+        if self.rows is not None:
+            rows = durable(self.rows)
+            docs = rows.where("first < 0").select("doc_id", "slug", F.col("dl").alias("num_terms"))
+            return SearchIndex(_only_postings(rows), docs, self.analyzer)
+        return SearchIndex(durable(self.postings), durable(self.doc_stats), self.analyzer)
 
-def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: Analyzer | None = None, slug_col: str | None = None) -> SearchIndex:
-    """Index every row of ``df``; ids must be unique and are never reused.
 
-    A null text is an empty document: it has statistics and no postings. Tokens
-    move once, by term and document, so that no term's postings gather in one
-    place; they are sorted there and grouped as they stream by, for which the
-    session's ``replaceHashWithSortAgg`` is set (it changes no result).
+def check_keys(docs: DataFrame) -> None:
+    """Raise unless every row of ``docs`` (doc_id, slug) has an id of its own and a
+    slug of its own. Reads these two columns alone."""
+    if not docs.where("doc_id IS NULL OR slug IS NULL").isEmpty():
+        raise ValueError("documents need an id and a slug")
+    for key in ("doc_id", "slug"):
+        twice = docs.groupBy(key).count().where("count > 1").limit(5).collect()
+        if twice:
+            raise DuplicateDocument(f"more than one document with {key} " + ", ".join(str(r[key]) for r in twice))
+
+
+#: Term of the row that each document has of its own; no tokenizer gives it.
+DOCUMENT = "\0"
+
+
+def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: Analyzer | None = None, slug_col: str | None = None, check: bool = True) -> SearchIndex:
+    """Index every row of ``df``. Ids are never reused.
+
+    A null text is an empty document: it has statistics and no postings. Null
+    or repeated ids and slugs raise (``check``, a job over these columns; without
+    it they are the caller's to rule out). Texts move once, to be divided evenly
+    by document; tokens are made and grouped where their document then lies.
     """
     analyzer = analyzer or Analyzer()
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(slug_col or id_col).cast("string").alias("slug"), F.col(text_col).alias("__text"))
-    terms = analyzer.terms(docs, "__text", "doc_id")
-    df.sparkSession.conf.set("spark.sql.execution.replaceHashWithSortAgg", "true")
-    ordered = terms.repartition("term", "doc_id").sortWithinPartitions("term", "doc_id", "pos")
-    postings = ordered.groupBy("term", "doc_id").agg(
-        F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions")
+    if check:
+        check_keys(docs.select("doc_id", "slug"))
+    tokens = analyzer.terms(docs.repartition("doc_id"), "__text", "doc_id", "slug", head=DOCUMENT)
+    rows = tokens.groupBy("doc_id", "term").agg(
+        F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"),
+        F.min("pos").alias("first"), F.first(F.when(F.col("pos") < 0, F.col("slug"))).alias("slug"),
     )
     stats = docs.select("doc_id", "slug", F.size(analyzer.tokens(F.col("__text"))).cast("bigint").alias("num_terms"))
-    return SearchIndex(postings, stats, analyzer)
+    return SearchIndex(_only_postings(rows), stats, analyzer, rows=rows)
+
+
+def _only_postings(rows: DataFrame) -> DataFrame:
+    return rows.where("first >= 0").select("term", "doc_id", "tf", "dl", "positions")
 
 
 def empty_index(spark, analyzer: Analyzer | None = None) -> SearchIndex:
@@ -140,7 +172,8 @@ def remove_documents(index: SearchIndex, slugs: DataFrame, check: bool = True) -
 
 def add_documents(index: SearchIndex, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slug_col: str | None = None, allow_overwrite: bool = False) -> SearchIndex:
     """The index with the rows of ``df``. A slug that is indexed already is an
-    error, or with ``allow_overwrite`` is replaced."""
+    error, or with ``allow_overwrite`` is replaced. So is an id under which
+    another slug is indexed, which can't be replaced."""
     new = build_index(df, id_col, text_col, index.analyzer, slug_col)
     slugs = new.doc_stats.select("slug")
     if allow_overwrite:
@@ -149,6 +182,9 @@ def add_documents(index: SearchIndex, df: DataFrame, id_col: str = "doc_id", tex
         known = index.doc_stats.join(slugs, "slug", "left_semi").limit(5).collect()
         if known:
             raise DuplicateDocument("already indexed: " + ", ".join(str(r["slug"]) for r in known))
+    taken = index.doc_stats.join(new.doc_stats.select("doc_id"), "doc_id", "left_semi").limit(5).collect()
+    if taken:
+        raise DuplicateDocument("ids of other documents: " + ", ".join(f"{r['doc_id']} ({r['slug']})" for r in taken))
     return SearchIndex(index.postings.unionByName(new.postings), index.doc_stats.unionByName(new.doc_stats), index.analyzer)
 
 

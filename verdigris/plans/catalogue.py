@@ -356,9 +356,9 @@ def batch_search_benchmark_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return S.search(built(spark, sf), docs(spark, sf, "benchmark"), Bm25Scorer(), TOP, "item_id", digits=DIGITS)
 
 
-@query(_batch(_bm25(), "(SELECT conv_id * 1000 + turn AS qid, text AS qtext FROM conversations WHERE role = 'user')", "query_id"))
+@query(_batch(_bm25(), "(SELECT conv_id * 1000 + turn AS qid, text AS qtext FROM conversations)", "query_id"))
 def batch_search_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    asked = docs(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    asked = docs(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
     return S.search(built(spark, sf), asked, Bm25Scorer(), TOP, digits=DIGITS)
 
 
@@ -434,17 +434,67 @@ def json_roundtrip_postings(spark: SparkSession, sf: str) -> DataFrame:
     return store.import_json(spark, path).postings.select("term", "doc_id", "tf")
 
 
-# --- text splitting (rows only; held against fixtures in the tests) -----------
+# --- text splitting -----------------------------------------------------------
+# Books are made of the documents' texts, with headings and markers put between
+# their sentences, in the query and its SQL alike.
 
-PLAY = "ACT I\nSCENE I. a foo\nCHORUS.\nbar ACT II PROLOGUE.\nzz SCENE 2 qq EPILOGUE.\nend"
-SONNETS = "  1\n\nFrom fairest creatures\n\n2\n\nWhen forty winters\n"
+_STRIPPED = r"regexp_replace(regexp_replace({x}, '^\s+', ''), '\s+$', '')"
+#: A text with markers of all kinds: acts, scenes, prologues, epilogues, inductions.
+_PLAY = """'Contents ' || lang || chr(10) || 'ACT I' || chr(10) || 'PROLOGUE.' || chr(10)
+  || replace(replace(replace(text, ', ', chr(10) || 'SCENE IV. '), '.' || chr(10), '.' || chr(10) || 'ACT II EPILOGUE.' || chr(10)), 'in ', 'INDUCTION. ')"""
+_BOOK = """'THE SONNETS, THE SONNETS' || source || text || 'THE END' || chr(10) || text || lang || '*** END OF THE PROJECT GUTENBERG EBOOK' || source"""
+_SHELF = """'On this shelf' || chr(10) || 'FIRST PLAY' || chr(10) || text || 'SECOND PLAY' || chr(10) || source || 'THIRD PLAY' || lang || text"""
+TITLES = ("FIRST PLAY", "SECOND PLAY", "THIRD PLAY")
+_MARK = r"INDUCTION\.|(?:PRO|EPI)LOGUE\.\n|SCENE [1-9VXI]+\.?\s+|ACT [VI]+"
 
 
-@query()
+def _sections_sql(body: str) -> str:
+    """CTE found (title, pos, act, name, text) of ``body`` over documents."""
+    return rf"""WITH plays AS (SELECT doc_id::VARCHAR AS title, {body} AS t FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT title, unnest(regexp_extract_all(t, '{_MARK}')) AS mark, unnest(regexp_split_to_array(t, '{_MARK}')[2:]) AS text, unnest(range(1, len(regexp_extract_all(t, '{_MARK}')) + 1))::INTEGER AS pos FROM plays),
+headed AS (SELECT *, CASE WHEN mark LIKE 'ACT%' THEN regexp_extract(mark, 'ACT ([IV]+)', 1) END AS heading FROM cut),
+acted AS (SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY title ORDER BY pos ROWS UNBOUNDED PRECEDING), '') AS act FROM headed),
+found AS (SELECT title, pos, act, CASE WHEN mark LIKE 'SCENE%' THEN regexp_extract(mark, 'SCENE ([IVX1-9]+)', 1) ELSE regexp_extract(mark, '^([A-Z]+)', 1) END AS name, text FROM acted WHERE heading IS NULL)"""
+
+
+_AFTER = f"substr({_PLAY}, strpos({_PLAY}, 'PROLOGUE.'))"
+
+
+def _plays(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("title"), F.expr(_PLAY).alias("text"))
+
+
+@query(f"{_sections_sql(_PLAY)} SELECT * FROM found")
 def etl_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return plays.sections(spark.createDataFrame([("A PLAY", PLAY)], "title string, text string"))
+    return plays.sections(_plays(spark, sf))
+
 
+@query(f"{_sections_sql(_AFTER)} SELECT * FROM found")
+def etl_parse_plays(spark: SparkSession, sf: str) -> DataFrame:
+    return plays.parse_plays(_plays(spark, sf))
 
-@query()
+
+@query(f"""{_sections_sql(_AFTER)} SELECT title, act, name, text, title AS folder,
+  CASE WHEN act <> '' AND name <> '' THEN 'ACT-' || act || '-SCENE-' || name WHEN name <> '' THEN name ELSE title END || '.txt' AS file FROM found
+  QUALIFY row_number() OVER (PARTITION BY folder, file ORDER BY pos DESC) = 1""")
+def etl_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return plays.paths(plays.parse_plays(_plays(spark, sf))).select("title", "act", "name", "text", "folder", "file")
+
+
+@query(f"""SELECT unnest(regexp_extract_all(t, '[0-9]+'))::INTEGER AS number, {_STRIPPED.format(x="unnest(regexp_split_to_array(t, '[0-9]+')[2:])")} AS text
+  FROM (SELECT replace(regexp_replace(text, '[0-9]', '', 'g'), chr(10), chr(10) || doc_id || chr(10)) AS t FROM documents WHERE text IS NOT NULL)""")
 def etl_sonnets(spark: SparkSession, sf: str) -> DataFrame:
-    return plays.parse_sonnets(spark.createDataFrame([(SONNETS,)], "sonnets string"))
+    numbered = docs(spark, sf).where("text IS NOT NULL").select(F.expr("replace(regexp_replace(text, '[0-9]', ''), chr(10), chr(10) || doc_id || chr(10))").alias("sonnets"))
+    return plays.parse_sonnets(numbered)
+
+
+@query("SELECT source || text AS sonnets, text || lang AS plays FROM documents WHERE text IS NOT NULL")
+def etl_split_book(spark: SparkSession, sf: str) -> DataFrame:
+    return plays.split_book(docs(spark, sf).where("text IS NOT NULL").select(F.expr(_BOOK).alias("text")))
+
+
+@query("""SELECT unnest(['FIRST PLAY', 'SECOND PLAY', 'THIRD PLAY']) AS title,
+  unnest(['FIRST PLAY' || chr(10) || text, 'SECOND PLAY' || chr(10) || source, 'THIRD PLAY' || lang || text]) AS text FROM documents WHERE text IS NOT NULL""")
+def etl_slice_plays(spark: SparkSession, sf: str) -> DataFrame:
+    shelf = docs(spark, sf).where("text IS NOT NULL").select(F.expr(_SHELF).alias("plays"))
+    return plays.slice_plays(shelf, spark.createDataFrame(list(enumerate(TITLES)), "idx int, title string"))

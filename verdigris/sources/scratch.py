@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,20 +31,43 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/verdigris/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
+#: Paths that each open ``scope`` has written.
+_scopes: list[list[str]] = []
+
+
+def durable(df: DataFrame, outlives: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     This cuts lineage in a way that survives the loss of executors, and gives
-    the optimizer true sizes for the joins that follow.
+    the optimizer true sizes for the joins that follow. The table goes with the
+    ``scope`` that it is written in, or if it ``outlives`` that, with the next one.
     """
     path = fresh_path(df.sparkSession)
     df.write.parquet(path)
+    at = len(_scopes) - 1 - outlives
+    if at >= 0:
+        _scopes[at].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes what ``durable`` has written inside it when it ends. Results that
+    read these tables must have been stored by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that ``durable`` wrote for this application. Call it
     once the results that read them have been stored."""
-    path = f"{shared_dir(spark)}/verdigris/{spark.sparkContext.applicationId}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _delete(spark, f"{shared_dir(spark)}/verdigris/{spark.sparkContext.applicationId}")

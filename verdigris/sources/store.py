@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions.analysis import AlphanumericTokenizer, Analyzer, NoStemmer, PorterStemmer, Stopper
 from verdigris.operators.index import DOC_STATS, POSTINGS, SearchIndex, empty_index
+from verdigris.sources.scratch import scope
 
 JSON_INDEX = "doc_data map<string,struct<slug:string,num_terms:bigint>>, index array<struct<term:string,posting_list:array<struct<doc_id:bigint,postings:array<int>>>>>"
 
@@ -29,12 +31,24 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small file in one step."""
+#: Characters that are sent to a file at once.
+PIECE = 1 << 22
+
+
+def _put(spark: SparkSession, path: str, text: str | Iterable[str]) -> None:
+    """Replace a file in one step."""
     fs, target = _fs(spark, path)
     part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     out = fs.create(part, True)
-    out.write(bytearray(text.encode()))
+    held: list[str] = []
+    size = 0
+    for piece in [text] if isinstance(text, str) else text:
+        held.append(piece)
+        size += len(piece)
+        if size >= PIECE:
+            out.write(bytearray("".join(held).encode()))
+            held, size = [], 0
+    out.write(bytearray("".join(held).encode()))
     out.close()
     if not fs.rename(part, target):  # some file systems don't rename over a file
         fs.delete(target, False)
@@ -57,14 +71,18 @@ def save(index: SearchIndex, path: str, partitions: int | None = None) -> str:
     spark = index.postings.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     at = f"{path}/{version}"
-    by_term = index.postings.repartitionByRange(*([partitions] if partitions else []), "term", "doc_id").sortWithinPartitions("term", "doc_id")
-    by_term.select("term", "doc_id", "tf", "dl", "positions").write.parquet(f"{at}/postings")
-    index.doc_stats.select("doc_id", "slug", "num_terms").write.parquet(f"{at}/doc_stats")
+    with scope(spark):
+        # written before it is divided by range, which looks at all keys beforehand
+        index = index.stored()
+        by_term = index.postings.repartitionByRange(*([partitions] if partitions else []), "term", "doc_id").sortWithinPartitions("term", "doc_id")
+        by_term.select("term", "doc_id", "tf", "dl", "positions").write.parquet(f"{at}/postings")
+        index.doc_stats.select("doc_id", "slug", "num_terms").write.parquet(f"{at}/doc_stats")
     stored = SearchIndex(spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/doc_stats"), index.analyzer)
     stored.term_stats.sortWithinPartitions("term").write.parquet(f"{at}/term_stats")
     stored.corpus.coalesce(1).write.parquet(f"{at}/corpus")
     _put(spark, f"{at}/analyzer.json", index.analyzer.manifest())
     _put(spark, f"{path}/CURRENT", version)
+    _put(spark, f"{at}/PUBLISHED", version)
     return version
 
 
@@ -91,10 +109,12 @@ def load(spark: SparkSession, path: str, analyzer: Analyzer | None = None, versi
 
 
 def vacuum(spark: SparkSession, path: str) -> list[str]:
-    """Delete every version but the current one; returns their names."""
+    """Delete every version that was current once and isn't any more; returns
+    their names. One that is still being written stays."""
     current = _get(spark, f"{path}/CURRENT")
     fs, root = _fs(spark, path)
-    old = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName() not in (current,)]
+    there = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
+    old = [name for name in there if name != current and _get(spark, f"{path}/{name}/PUBLISHED") is not None]
     for name in old:
         fs.delete(_fs(spark, f"{path}/{name}")[1], True)
     return old
@@ -119,18 +139,24 @@ def lists_from_json(rows: DataFrame, value: str = "value") -> DataFrame:
     return flat.select("term", "doc_id", F.size("postings").cast("bigint").alias("tf"), F.col("postings").alias("positions"))
 
 
-def to_json(index: SearchIndex) -> DataFrame:
-    """One row, one column ``value``: the whole index as a JSON object. For
-    exchange of small indexes; the native store is the scalable one."""
-    lists = index.postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", F.col("positions").alias("postings")))).alias("posting_list"))
-    terms = lists.agg(F.sort_array(F.collect_list(F.struct("term", "posting_list"))).alias("index"))
-    docs = index.doc_stats.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("doc_id").cast("string"), F.struct("slug", "num_terms"))))).alias("doc_data"))
-    return docs.crossJoin(terms).select(F.to_json(F.struct("doc_data", "index")).alias("value"))
+def export_json(index: SearchIndex, path: str) -> None:
+    """Write the index to one JSON file, in one step: documents and lists come
+    to the writer one after the other and are never held together. For exchange;
+    the native store is the scalable one."""
+    spark = index.postings.sparkSession
+    with scope(spark):
+        index = index.stored()
+        docs = index.doc_stats.orderBy("doc_id").select(F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit('":'), F.to_json(F.struct("slug", "num_terms"))).alias("value"))
+        lists = lists_to_json(index).orderBy("term").select("value")
 
+        def pieces() -> Iterator[str]:
+            for opening, rows in (('{"doc_data":{', docs), ('},"index":[', lists)):
+                yield opening
+                for i, row in enumerate(rows.toLocalIterator()):
+                    yield ("," if i else "") + row["value"]
+            yield "]}"
 
-def export_json(index: SearchIndex, path: str) -> None:
-    """Write the index to one JSON file, in one step."""
-    _put(index.postings.sparkSession, check_json_path(path), to_json(index).first()["value"])
+        _put(spark, check_json_path(path), pieces())
 
 
 def from_json(document: DataFrame, analyzer: Analyzer | None = None) -> SearchIndex:
@@ -150,4 +176,4 @@ def import_json(spark: SparkSession, path: str, analyzer: Analyzer | None = None
     return from_json(spark.read.schema(JSON_INDEX).option("multiLine", True).option("mode", "FAILFAST").json(path), analyzer)
 
 
-__all__ = ["DOC_STATS", "POSTINGS", "AnalyzerMismatch", "check_json_path", "export_json", "from_json", "import_json", "lists_from_json", "lists_to_json", "load", "save", "to_json", "vacuum"]
+__all__ = ["DOC_STATS", "POSTINGS", "AnalyzerMismatch", "check_json_path", "export_json", "from_json", "import_json", "lists_from_json", "lists_to_json", "load", "save", "vacuum"]
