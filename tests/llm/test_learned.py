@@ -163,22 +163,114 @@ def test_held_out_quality(judged):
     assert sum(bad) <= 0.1 * len(bad)
 
 
+def taught(docs, labels, **options):
+    return Q.train(Q.durable(Q.features(docs)), labels, **options)
+
+
 def test_views_teach_each_other(judged):
     docs, labels = judged
     few = labels.where("doc_id < 240")
-    named = docs.drop("n_chars")
     good = few.selectExpr("doc_id", "int(quality = 1 AND toxic = 0) AS y")
-    alone, taught = Q.train(named, good, rounds=0), Q.train(named, good)
-    assert len(taught.vocabulary) == len(alone.vocabulary)
-    assert not np.array_equal(alone.odds, taught.odds)
-    assert not np.array_equal(alone.meta, taught.meta)
+    before, after = taught(docs, good, rounds=0), taught(docs, good)
+    assert not np.array_equal(before.odds, after.odds)
+    assert not np.array_equal(before.meta, after.meta)
 
 
 def test_bounds_hold(judged):
     docs, labels = judged
     good = labels.selectExpr("doc_id", "quality AS y")
-    assert Q.train(docs, good, labelled=300, pool=0) is not None
-    assert Q.train(docs, good, labelled=1, pool=10) is None
+    assert taught(docs, good, labelled=300) is not None
+    assert taught(docs, good, labelled=1) is None
+
+
+def test_only_proven_confidence_is_trusted():
+    p, y = np.linspace(0, 1, 1001), np.ones(1001)
+    assert Q.trusted(p, y) == (-1.0, Q.CONFIDENT)
+    y[::10] = 0  # a tenth of the surest are wrong
+    assert Q.trusted(p, y)[1] == 2.0
+    y = (p > 0.5).astype(float)
+    assert Q.trusted(p, y) == (pytest.approx(1 - Q.CONFIDENT), Q.CONFIDENT)
+
+
+def plain(docs):
+    """Words and shape of each document, one at a time."""
+    from collections import Counter
+
+    out = {}
+    for d in docs.collect():
+        counts = Counter(Q.WORD.findall((d.text or "").lower()))
+        out[d.doc_id] = sorted({Q.unit(w) for w in counts}), Q.shape(d.text or "", counts, d.source, d.lang).astype(np.float32)
+    return out
+
+
+def totals(table):
+    words, moments, docs = {}, 0, (0, 0)
+    for r in table.collect():
+        if r.unit >= 0:
+            good, bad = words.get(r.unit, (0, 0))
+            words[r.unit] = good + r.good, bad + r.bad
+        else:
+            moments, docs = moments + np.array(r.moments), (docs[0] + r.good, docs[1] + r.bad)
+    return words, moments, docs
+
+
+def test_a_round_equals_brute_force(judged):
+    """Counts and moments of labelled documents, and those of the pseudo-labels of one round."""
+    docs, labels = judged
+    rows = Q.durable(Q.features(docs))
+    own = plain(docs)
+    y = {r.doc_id: int(r.quality == 1 and r.toxic == 0) for r in labels.where("doc_id < 400").collect()}
+    good = labels.where("doc_id < 400").selectExpr("doc_id", "int(quality = 1 AND toxic = 0) AS y")
+    model = Q.train(rows, good, rounds=1)
+    odds = dict(zip(model.units.tolist(), model.odds.tolist()))
+
+    def expected(by_text, by_meta):
+        words, m, n = {}, Q.Moments.none(), [0, 0]
+        for key, (units, features) in own.items():
+            if (t := by_text(key)) is not None:
+                m.n[t] += 1
+                m.x[t] += features
+                m.xx[t] += np.outer(features.astype(float), features.astype(float))
+            if (c := by_meta(key)) is not None:
+                n[c] += 1
+                for u in units:
+                    pair = words.setdefault(u, [0, 0])
+                    pair[1 - c] += 1
+        return {u: tuple(p) for u, p in words.items()}, m.flat(), (n[1], n[0])
+
+    got = totals(Q.tally(rows.join(good, "doc_id")))
+    want = expected(y.get, y.get)
+    assert got[0] == want[0] and got[2] == want[2] and np.allclose(got[1], want[1])
+
+    def view(key, which):
+        units, features = own[key]
+        o = np.array([odds[u] for u in units if u in odds])
+        t = model.fit_text[0] + model.fit_text[1] * (Q.evidence(o) @ model.text)
+        m = model.fit_meta[0] + model.fit_meta[1] * (features.astype(float) @ model.meta)
+        return (t, m)[which]
+
+    def sure(which):
+        def label(key):
+            if key in y:
+                return None
+            p = Q.chance(view(key, which))
+            lo, hi = model.sure[which]
+            return 1 if p >= hi else 0 if p <= lo else None
+
+        return label
+
+    free = rows.join(good, "doc_id", "left").where("y IS NULL")
+    got, want = totals(Q.tally(free, model)), expected(sure(0), sure(1))
+    assert got[2] == want[2] and sum(got[2]) > 0
+    assert got[0] == want[0] and np.allclose(got[1], want[1])
+
+    scored = {r.doc_id: r for r in Q.score(rows, model).collect()}
+    for key in own:
+        t, m = view(key, 0), view(key, 1)
+        p = Q.chance(model.both @ np.array([1.0, t, m, min(t, m)]))
+        r = scored[key]
+        assert max(abs(r.p_text - Q.chance(t)), abs(r.p_meta - Q.chance(m)), abs(r.score - p)) < 2e-6
+        assert r.kept == (r.score >= Q.KEEP)
 
 
 def test_quality_hostile(spark, hostile, hostile_rows, empty):
@@ -192,6 +284,6 @@ def test_quality_hostile(spark, hostile, hostile_rows, empty):
 
 def test_long_and_empty_texts_are_scored(spark, judged, hostile):
     docs, labels = judged
-    model = Q.train(docs, labels.selectExpr("doc_id", "int(quality = 1 AND toxic = 0) AS y"))
-    got = {r.doc_id: r.score for r in Q.score(hostile, model).collect()}
+    model = taught(docs, labels.selectExpr("doc_id", "int(quality = 1 AND toxic = 0) AS y"))
+    got = {r.doc_id: r.score for r in Q.score(Q.features(hostile), model).collect()}
     assert all(0 <= s <= 1 for s in got.values())

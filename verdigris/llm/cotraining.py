@@ -1,17 +1,22 @@
 """Quality by co-training of a text view and a metadata view.
 
-The text view sees which words a document has (those that are in several
-documents of the sample); the metadata view its source,
-language and shape (length, lines, letters, symbols, repetition). Both are
-trained on a bounded sample of labelled documents. Over rounds, each labels the
-documents of a bounded unlabelled pool of which it is confident, and these train
-the other. At the end both views are calibrated and combined on labelled
-documents that were held out, and all documents are scored.
+The text view sees which words a document has; the metadata view its source,
+language and shape (length, lines, letters, symbols, repetition). Words and
+shape are taken from every document once and written. Both views learn from all
+labelled documents but those held out: the text view from the documents of either
+class that hold a word, the metadata view from the classes' moments (a linear
+discriminant). Over rounds, each view labels every unlabelled document of which it is
+confident, and these join the other view's counts or moments, all summed where
+the documents lie. Of either class they weigh a given part of its labelled
+documents at most, so that many like ones don't drown these. At the end both views are
+calibrated and combined on documents that were held out, and all are scored.
+
+What comes to the driver is bounded: counts by ``UNITS`` hashed words, moments,
+and a sample of labelled documents that fits a view's last few weights.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import zlib
 from collections import Counter
@@ -26,36 +31,39 @@ from pyspark.sql import functions as F
 
 from ._common import WORD, durable, key_hash
 
-#: Bounds on the labelled documents that train and calibrate, and on the pool.
-LABELLED, POOL = 16_000, 6_000
-ROUNDS = 3
-#: Probability from which a view's label of a pooled document is trusted.
+#: About how many labelled documents (chosen by a hash of their id) fit the weights
+#: of evidence and calibrate; all others that are labelled are counted only.
+LABELLED = 16_000
+ROUNDS = 2
+#: Probability from which a view's label of a document is trusted.
 CONFIDENT = 0.97
-#: Documents of the samples that a word must be in to be used.
+ENOUGH = 10
+#: Most that all pseudo-labelled documents of a class weigh beside its labelled ones.
+PSEUDO = 0.1
+#: Documents that a word must be in to be used.
 SEEN = 4
 HELD_OUT = 0.25
 KEEP = 0.5
 MEMO = 400_000
-#: Buckets of the one-hot source and language.
-SOURCES, LANGS = 32, 8
+#: Buckets of the one-hot source and language, and bits of a word's hash.
+SOURCES, LANGS, BITS = 32, 8, 22
+UNITS = 1 << BITS
+#: Word numbers that a task holds before it sums them.
+HELD = 4_000_000
 
 
-class Numbered(dict):
-    """Word -> its number in the vocabulary, -1 if it isn't there; remembered up to a bound."""
-
-    def __init__(self, vocabulary: np.ndarray):
-        super().__init__()
-        self.known = {int(h): i for i, h in enumerate(vocabulary)}
+class Units(dict):
+    """Word -> its number, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-        self[word] = value = self.known.get(word_hash(word), -1)
+        self[word] = value = unit(word)
         return value
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
+def unit(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> (64 - BITS)
 
 
 def shape(text: str, counts: Counter, source: str | None, lang: str | None) -> np.ndarray:
@@ -105,184 +113,312 @@ def chance(z: np.ndarray) -> np.ndarray:
 WIDTH = 6
 
 
-def evidence(words: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """The text view's features: the mean log odds of the words, that of the three
+def evidence(o: np.ndarray) -> np.ndarray:
+    """The text view's features of a document's log odds: their mean, that of the three
     worst, how far the worst falls below two bounds, and the number below the first."""
-    if not len(words):
+    if not len(o):
         return np.array([1.0, 0.0, 0.0, 0.0, 0.0, 0.0])
-    o = odds[words]
     worst = np.sort(o)[:3]
     return np.array([1.0, float(o.mean()), float(worst.mean()), max(0.0, -2.0 - float(worst[0])), max(0.0, -3.5 - float(worst[0])), math.log1p(np.count_nonzero(o < -2.0))])
 
 
+def known(words: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Log odds of the words that have any (the others' are NaN)."""
+    o = odds[words]
+    return o[~np.isnan(o)]
+
+
 def word_odds(good: np.ndarray, bad: np.ndarray, n_good: float, n_bad: float) -> np.ndarray:
-    """Log of P(word | good) / P(word | bad), 0 for words of few documents."""
-    odds = np.log((good + 0.5) / (n_good + 1.0)) - np.log((bad + 0.5) / (n_bad + 1.0))
-    return np.where(good + bad >= SEEN, odds, 0.0)
+    """Log of P(word | good) / P(word | bad), NaN for words of few documents."""
+    odds = np.log((np.maximum(good, 0.0) + 0.5) / (n_good + 1.0)) - np.log((np.maximum(bad, 0.0) + 0.5) / (n_bad + 1.0))
+    return np.where(good + bad >= SEEN, odds, np.nan)
+
+
+#: Length of the metadata view's features.
+META = 10 + SOURCES + LANGS
+
+
+@dataclass
+class Moments:
+    """Number, sum and sum of products of each class's features (row 0: bad)."""
+
+    n: np.ndarray
+    x: np.ndarray
+    xx: np.ndarray
+
+    @staticmethod
+    def none() -> Moments:
+        return Moments(np.zeros(2), np.zeros((2, META)), np.zeros((2, META, META)))
+
+    def add(self, features: np.ndarray, label: np.ndarray) -> None:
+        for c in (0, 1):
+            own = features[label == c].astype(np.float64)
+            self.n[c] += len(own)
+            self.x[c] += own.sum(axis=0)
+            self.xx[c] += own.T @ own
+
+    def with_weighted(self, other: Moments) -> Moments:
+        w = weights(self.n, other.n)
+        return Moments(self.n + w * other.n, self.x + w[:, None] * other.x, self.xx + w[:, None, None] * other.xx)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.n, self.x.ravel(), self.xx.ravel()])
+
+    @staticmethod
+    def of(flat: np.ndarray) -> Moments:
+        return Moments(flat[:2], flat[2 : 2 + 2 * META].reshape(2, META), flat[2 + 2 * META :].reshape(2, META, META))
+
+
+def weights(labelled: np.ndarray, pseudo: np.ndarray) -> np.ndarray:
+    """Weight of a pseudo-labelled document of each class."""
+    return np.minimum(1.0, PSEUDO * labelled / np.maximum(pseudo, 1.0))
+
+
+def discriminant(m: Moments, ridge: float = 1e-3) -> np.ndarray:
+    """Direction that separates the classes' means best, by their common covariance."""
+    mean = m.x / m.n[:, None]
+    within = sum(m.xx[c] - m.n[c] * np.outer(mean[c], mean[c]) for c in (0, 1)) / m.n.sum()
+    return np.linalg.solve(within + ridge * (np.diag(np.diag(within)) + 1e-3 * np.eye(META)), mean[1] - mean[0])
+
+
+def trusted(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Bounds on ``p`` below and above which labels are right for at least
+    ``CONFIDENT`` of the held-out documents there, of which there must be
+    ``ENOUGH``. A view that can't tell a class (toxic texts by their shape, say)
+    so never vouches for the other."""
+    out = []
+    for q, right in ((1 - p, y == 0), (p, y == 1)):
+        order = np.argsort(-q, kind="stable")
+        share = np.cumsum(right[order]) / np.arange(1, len(q) + 1)
+        fit = np.flatnonzero((share >= CONFIDENT) & (q[order] >= CONFIDENT))
+        out.append(float(q[order][fit[-1]]) if len(fit) and fit[-1] + 1 >= ENOUGH else 2.0)
+    return 1 - out[0], out[1]
 
 
 @dataclass
 class Model:
-    #: Hashes of the vocabulary's words, in order, and their log odds.
-    vocabulary: np.ndarray
+    #: Numbers of the words that have log odds, and these.
+    units: np.ndarray
     odds: np.ndarray
     text: np.ndarray
     meta: np.ndarray
     #: Calibration of each view (intercept, slope), then weights of intercept, both calibrated logits and the lower of them.
     fit_text: np.ndarray
     fit_meta: np.ndarray
-    both: np.ndarray
-
-    def score(self, words: np.ndarray, features: np.ndarray) -> tuple[float, float, float]:
-        t = self.fit_text @ np.array([1.0, float(evidence(words, self.odds) @ self.text)])
-        m = self.fit_meta @ np.array([1.0, float(features @ self.meta)])
-        return float(chance(t)), float(chance(m)), float(chance(self.both @ np.array([1.0, t, m, min(t, m)])))
-
-
-def _fit_text(docs: list[np.ndarray], y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    good, bad = np.zeros(size), np.zeros(size)
-    for words, label in zip(docs, y):
-        (good if label else bad)[words] += 1
-    n_good, n_bad = float(y.sum()), float(len(y) - y.sum())
-    # each document is judged by the others' words
-    x = np.empty((len(docs), WIDTH))
-    for i, (words, label) in enumerate(zip(docs, y)):
-        if not len(words):
-            x[i] = evidence(words, good)
-            continue
-        o = word_odds(good[words] - label, bad[words] - (1 - label), n_good - label, n_bad - (1 - label))
-        x[i] = evidence(np.arange(len(words)), o)
-    return word_odds(good, bad, n_good, n_bad), logistic(x, y)
-
-
-def _hashed(rows: DataFrame) -> DataFrame:
-    """Rows of (doc_id, y, text, source, lang) with their words' hashes and the
-    metadata view's features instead of text."""
+    both: np.ndarray | None = None
+    #: Probabilities up to which, and from which, each view's labels are trusted (rows: text, metadata).
+    sure: np.ndarray | None = None
+
+    def dense(self) -> np.ndarray:
+        odds = np.full(UNITS, np.nan, np.float32)
+        odds[self.units] = self.odds
+        return odds
+
+    def logits(self, odds: np.ndarray, words: list[np.ndarray], features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated logits of both views; ``odds`` is ``dense()``."""
+        z = np.array([evidence(known(w, odds)) @ self.text for w in words]) if len(words) else np.zeros(0)
+        m = features.astype(np.float64) @ self.meta
+        return self.fit_text[0] + self.fit_text[1] * z, self.fit_meta[0] + self.fit_meta[1] * m
+
+    def combined(self, t: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return chance(np.c_[np.ones(len(t)), t, m, np.minimum(t, m)] @ self.both)
+
+
+FEATURES = "doc_id bigint, words array<int>, shape array<float>"
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """``FEATURES`` of every row of (doc_id, text, source, lang): the sorted numbers of
+    its distinct words and the metadata view's features. Null texts count as
+    empty. Whole texts are read."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = Units()
         for batch in batches:
             words, shapes = [], []
-            for text, source, lang in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            for text, source, lang in zip(batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3))):
+                text = text.as_py() or ""
                 counts = Counter(WORD.findall(text.lower()))
-                words.append(sorted(map(word_hash, counts)))
-                shapes.append(shape(text, counts, source, lang))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int64())), pa.array(shapes, pa.list_(pa.float64()))], ["doc_id", "y", "words", "shape"])
+                words.append(np.unique(np.fromiter(map(number.__getitem__, counts), np.int32, len(counts))))
+                shapes.append(shape(text, counts, source, lang).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int32())), pa.array(shapes, pa.list_(pa.float32()))], ["doc_id", "words", "shape"])
 
-    return rows.select("doc_id", "y", "text", "source", "lang").mapInArrow(work, "doc_id bigint, y int, words array<bigint>, shape array<double>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), F.col("source").cast("string"), F.col("lang").cast("string"))
+    return rows.mapInArrow(work, FEATURES)
 
 
-def _numbered(hashed: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """``hashed`` with its words as numbers in the vocabulary, others dropped."""
-    shared = hashed.sparkSession.sparkContext.broadcast(vocabulary)
+def _lists(column: pa.ListArray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The lists, their values one after the other, and their lengths."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])], values[offsets[0] : offsets[-1]], np.diff(offsets)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [_numbers(shared.value, np.array(w.as_py(), np.int64)).astype(np.int32) for w in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int32())), batch.column(3)], ["doc_id", "y", "words", "shape"])
 
-    return hashed.mapInArrow(work, "doc_id bigint, y int, words array<int>, shape array<double>")
+def _shapes(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), META)
+
 
+_TALLY = "unit int, good bigint, bad bigint, moments array<double>"
 
-def _numbers(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    if not len(vocabulary):
-        return np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return at[vocabulary[at] == hashes]
 
+def tally(rows: DataFrame, model: Model | None = None) -> DataFrame:
+    """What both views learn from ``rows`` (doc_id, words, shape, y): numbers of good and bad
+    documents by word, and with number -1 those whose words are counted, beside the moments. Labels are ``y``, or with a
+    ``model`` those of which its views are confident: the metadata's for
+    words, the text's for moments."""
+    shared = None if model is None else rows.sparkSession.sparkContext.broadcast(model)
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model | None:
-    """A model of ``docs`` (doc_id, text, source, lang) and ``labels`` (doc_id, y).
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None if shared is None else shared.value
+        odds = None if model is None else model.dense()
+        moments = Moments.none()
+        held: tuple[list, list] = ([], [])
+        size = 0
+        counted = np.zeros(2, np.int64)
+
+        def summed() -> pa.RecordBatch:
+            (bad, b), (good, g) = (np.unique(np.concatenate([np.zeros(0, np.int32), *h]), return_counts=True) for h in held)
+            both = np.union1d(bad, good)
+            n = np.zeros((2, len(both)), np.int64)
+            n[0, np.searchsorted(both, bad)] = b
+            n[1, np.searchsorted(both, good)] = g
+            return pa.RecordBatch.from_arrays([pa.array(both, pa.int32()), pa.array(n[1]), pa.array(n[0]), pa.nulls(len(both), pa.list_(pa.float64()))], ["unit", "good", "bad", "moments"])
 
-    The samples are the rows with the smallest hashes of their ids, so their size
-    is bounded and the choice doesn't depend on order. Null labels, ids and texts
-    are not used; a document labelled more than once counts as 0 if any label is, and
-    of rows that repeat an id the one whose words' hashes sort first is used.
-    None if the sample lacks either class.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, flat, lengths = _lists(batch.column(1))
+            shapes = _shapes(batch.column(2))
+            if model is None:
+                by_text = by_meta = batch.column(3).to_numpy(zero_copy_only=False).astype(float)
+            else:
+                by_text, by_meta = (np.where(p >= hi, 1.0, np.where(p <= lo, 0.0, np.nan)) for p, (lo, hi) in zip(map(chance, model.logits(odds, words, shapes)), model.sure))
+            moments.add(shapes, by_text)
+            counted += [np.count_nonzero(by_meta == 0), np.count_nonzero(by_meta == 1)]
+            each = np.repeat(by_meta, lengths)
+            for c in (0, 1):
+                held[c].append(flat[each == c])
+                size += len(held[c][-1])
+            if size >= HELD:
+                yield summed()
+                held, size = ([], []), 0
+        yield summed()
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array(counted[1:]), pa.array(counted[:1]), pa.array([moments.flat()], pa.list_(pa.float64()))], ["unit", "good", "bad", "moments"])
+
+    return rows.select("doc_id", "words", "shape", "y").mapInArrow(work, _TALLY)
+
+
+def _learned(labelled: DataFrame, pseudo: DataFrame | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, Moments, np.ndarray]:
+    """Numbers of words with enough documents, these documents of either class
+    (pseudo-labelled ones weighted), the moments, and the numbers of documents."""
+    def moments(table: DataFrame) -> Moments:
+        total = Moments.none().flat()
+        for row in table.where("unit = -1").select("moments").toLocalIterator():  # one a task
+            total = total + np.array(row[0])
+        return Moments.of(total)
+
+    base = moments(labelled)
+    counts = labelled.where("unit >= 0").select("unit", "good", "bad")
+    n = base.n
+    m = base
+    if pseudo is not None:
+        more = moments(pseudo)
+        m = base.with_weighted(more)
+        docs = pseudo.where("unit = -1").agg(F.sum("bad"), F.sum("good")).first()
+        others = np.array([docs[0] or 0, docs[1] or 0], float)
+        w = weights(base.n, others)
+        n = base.n + w * others
+        extra = pseudo.where("unit >= 0").select("unit", (F.col("good") * float(w[1])).alias("good"), (F.col("bad") * float(w[0])).alias("bad"))
+        counts = counts.select("unit", F.col("good").cast("double").alias("good"), F.col("bad").cast("double").alias("bad")).unionByName(extra)
+    enough = counts.groupBy("unit").agg(F.sum("good").cast("float").alias("good"), F.sum("bad").cast("float").alias("bad")).where(F.col("good") + F.col("bad") >= SEEN).toArrow()
+    units = enough.column("unit").to_numpy()
+    order = np.argsort(units)
+    return units[order], enough.column("good").to_numpy()[order].astype(float), enough.column("bad").to_numpy()[order].astype(float), m, n
+
+
+def _fit_text(words: list[np.ndarray], y: np.ndarray, good: np.ndarray, bad: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights of the evidence; each document, which the counts (by word number)
+    hold, is judged by the others' words."""
+    x = np.empty((len(words), WIDTH))
+    for i, (own, label) in enumerate(zip(words, y)):
+        o = word_odds(good[own] - label, bad[own] - (1 - label), n[1] - label, n[0] - (1 - label))
+        x[i] = evidence(o[~np.isnan(o)])
+    return logistic(x, y)
+
+
+def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model | None:
+    """A model of ``rows`` (``features`` of documents, written) and ``labels`` (doc_id, y).
+
+    Null labels and ids are not used; a document labelled more than once counts
+    as 0 if any label is. Rows that repeat an id each count, but in the sample only the
+    one whose words sort first. None if the sample lacks either class.
     """
-    marks = labels.where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("y").cast("int")).alias("y"))
-    ids = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id").distinct().join(marks, "doc_id", "left").withColumn("h", key_hash(F.col("doc_id")))
-    ids = durable(ids)
-    chosen = ids.where("y IS NOT NULL").orderBy("h", "doc_id").limit(labelled).unionByName(ids.where("y IS NULL").orderBy("h", "doc_id").limit(pool))
-    chosen = F.broadcast(durable(chosen.select("doc_id", "y")))  # no more rows than the two bounds
-    sample = docs.where("text IS NOT NULL").join(chosen, "doc_id")
-    hashed = durable(_hashed(sample).groupBy("doc_id").agg(F.min(F.struct("words", "shape", "y")).alias("r")).select("doc_id", "r.y", "r.words", "r.shape"))
-    seen = hashed.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= SEEN)
-    vocabulary = np.sort(seen.select("w").toArrow().column(0).to_numpy())
-    # only numbers of words come to the driver: the sample's bound is that of its memory
-    got = _numbered(hashed, vocabulary).toPandas()
-    if not len(got):
+    marks = durable(labels.where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("y").cast("int")).alias("y")))
+    share = min(1.0, labelled / max(1, marks.count()))
+    at = key_hash(F.lit("held out"), F.col("doc_id")) / float(1 << 60)
+    role = F.when(F.col("y").isNull(), "free").when(at < HELD_OUT * share, "held").when(at < share, "fit").otherwise("counted")
+    marked = rows.join(marks, "doc_id", "left").withColumn("role", role)
+    sample = marked.where("role IN ('held', 'fit')").groupBy("doc_id").agg(F.min(F.struct("words", "shape", "y", "role")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toArrow()
+    sample = sample.combine_chunks()
+    if not sample.num_rows:
         return None
-    # held out by a hash of the id, whatever the order of rows
-    got["u"] = [int(hashlib.md5(b"held out %d" % i).hexdigest()[:8], 16) / 2**32 for i in got.doc_id]
-    got = got.sort_values("doc_id")
-    known = got[got.y.notna()]
-    held, fit, free = known[known.u < HELD_OUT], known[known.u >= HELD_OUT], got[got.y.isna()]
-    y, hy = fit.y.to_numpy(float), held.y.to_numpy(float)
-    if len({*y}) < 2 or len({*hy}) < 2:
+    words, shapes = _lists(sample.column("words").chunk(0))[0], _shapes(sample.column("shape").chunk(0))
+    y, held = sample.column("y").to_numpy().astype(float), sample.column("role").to_pandas().to_numpy() == "held"
+    if any(len({*part}) < 2 for part in (y[held], y[~held])):
         return None
-    fw, hw, pw = (list(x.words) for x in (fit, held, free))
-    width = 10 + SOURCES + LANGS
-    fs, hs, ps = (np.stack(list(x["shape"])) if len(x) else np.zeros((0, width)) for x in (fit, held, free))
+    fw, hw = ([w for w, h in zip(words, held) if h == own] for own in (False, True))
+    hs, fy, hy = shapes[held], y[~held], y[held]
 
-    extra: dict[str, dict[int, float]] = {"text": {}, "meta": {}}  # what each view learned from the other
+    base = durable(tally(marked.where("role IN ('fit', 'counted')")))
+    free = marked.where("role = 'free'")
+    pseudo = None
     for turn in range(rounds + 1):
-        own = sorted(extra["text"].items())
-        odds, text = _fit_text(fw + [pw[i] for i, _ in own], np.concatenate([y, [v for _, v in own]]), len(vocabulary))
-        own = sorted(extra["meta"].items())
-        meta = logistic(np.concatenate([fs, ps[[i for i, _ in own]]]), np.concatenate([y, [v for _, v in own]]))
-        zt = lambda ws: np.array([evidence(w, odds) @ text for w in ws])
+        units, good, bad, moments, n = _learned(base, pseudo)
+        by_unit = np.zeros((2, UNITS), np.float32)
+        by_unit[0, units], by_unit[1, units] = bad, good
+        text = _fit_text(fw, fy, by_unit[1], by_unit[0], n)
+        model = Model(units, word_odds(good, bad, n[1], n[0]).astype(np.float32), text, discriminant(moments), np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         # calibrated on documents that neither view has seen
-        ht, hm = zt(hw), hs @ meta
-        fit_text, fit_meta = (logistic(np.c_[np.ones(len(hy)), z], hy, ridge=1e-4) for z in (ht, hm))
-        if turn == rounds or not len(free):
-            break
-        pt = chance(np.c_[np.ones(len(pw)), zt(pw)] @ fit_text)
-        pm = chance(np.c_[np.ones(len(pw)), ps @ meta] @ fit_meta)
-        before = len(extra["text"]) + len(extra["meta"])
-        for p, other in ((pt, "meta"), (pm, "text")):
-            for i in np.flatnonzero((p >= CONFIDENT) | (p <= 1 - CONFIDENT)):
-                extra[other].setdefault(int(i), float(p[i] > 0.5))
-        if len(extra["text"]) + len(extra["meta"]) == before:
-            break
-    lt, lm = (np.c_[np.ones(len(hy)), z] @ f for z, f in ((ht, fit_text), (hm, fit_meta)))
-    both = logistic(np.c_[np.ones(len(hy)), lt, lm, np.minimum(lt, lm)], hy, ridge=1e-4)
-    return Model(vocabulary, odds, text, meta, fit_text, fit_meta, both)
+        ht, hm = model.logits(model.dense(), hw, hs)
+        model.fit_text, model.fit_meta = (logistic(np.c_[np.ones(len(hy)), z], hy, ridge=1e-4) for z in (ht, hm))
+        model.sure = np.array([trusted(chance(c[0] + c[1] * z), hy) for c, z in ((model.fit_text, ht), (model.fit_meta, hm))])
+        if turn < rounds:
+            pseudo = durable(tally(free, model))
+    lt, lm = (model.fit_text[0] + model.fit_text[1] * ht, model.fit_meta[0] + model.fit_meta[1] * hm)
+    model.both = logistic(np.c_[np.ones(len(hy)), lt, lm, np.minimum(lt, lm)], hy, ridge=1e-4)
+    return model
 
 
-def score(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
-    """``(doc_id, p_text, p_meta, score, kept)`` for every row of ``docs``.
+def score(rows: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
+    """``(doc_id, p_text, p_meta, score, kept)`` for every row of ``features``.
 
-    Null texts count as empty, which both views know as such; rows with a null or
-    repeated id are scored like any other. Whole texts are read. Without a model
+    Rows with a null or repeated id are scored like any other. Without a model
     the scores are null and everything is kept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.vocabulary, model.odds, model.text, model.meta, model.fit_text, model.fit_meta, model.both))
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None if shared.value is None else Model(*shared.value)
-        memo = None if model is None else Numbered(model.vocabulary)
+        model = shared.value
+        odds = None if model is None else model.dense()
         for batch in batches:
-            out = []
-            for text, source, lang in zip(batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3))):
-                if model is None:
-                    out.append((None, None, None, True))
-                    continue
-                text = text.as_py() or ""
-                counts = Counter(WORD.findall(text.lower()))
-                words = np.fromiter(map(memo.__getitem__, counts), np.int64, len(counts))
-                words = words[words >= 0]
-                t, m, p = (round(v, 6) for v in model.score(words, shape(text, counts, source, lang)))
-                out.append((t, m, p, p >= keep))
-            columns = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, (pa.float64(), pa.float64(), pa.float64(), pa.bool_())))], ["doc_id", "p_text", "p_meta", "score", "kept"])
+            if model is None or not batch.num_rows:
+                none = pa.nulls(batch.num_rows, pa.float64())
+                columns = [none, none, none, pa.array([True] * batch.num_rows, pa.bool_())]
+            else:
+                t, m = model.logits(odds, _lists(batch.column(1))[0], _shapes(batch.column(2)))
+                p = np.round(model.combined(t, m), 6)
+                columns = [pa.array(np.round(chance(t), 6)), pa.array(np.round(chance(m), 6)), pa.array(p), pa.array(p >= keep)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "p_text", "p_meta", "score", "kept"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), F.col("source").cast("string"), F.col("lang").cast("string"))
-    return rows.mapInArrow(work, "doc_id bigint, p_text double, p_meta double, score double, kept boolean")
+    return rows.select("doc_id", "words", "shape").mapInArrow(work, "doc_id bigint, p_text double, p_meta double, score double, kept boolean")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
                   quality_col: str = "quality", toxic_col: str = "toxic", **bounds) -> DataFrame:
-    """Train on ``labels`` (good = quality 1 and not toxic) and score ``docs``."""
+    """``score`` of every row of ``docs`` by a model of ``labels`` (good = quality 1
+    and not toxic). Null and empty texts are scored as empty; rows with a null or repeated id
+    like any other. Without labels of both classes scores are null and everything is kept. An
+    empty table gives an empty one."""
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"))
     good = ((F.col(quality_col) == 1) & (F.col(toxic_col) == 0)).cast("int")
-    return score(named, train(named, labels.select(F.col(id_col).cast("bigint").alias("doc_id"), good.alias("y")), **bounds))
+    rows = durable(features(named))
+    return score(rows, train(rows, labels.select(F.col(id_col).cast("bigint").alias("doc_id"), good.alias("y")), **bounds))
