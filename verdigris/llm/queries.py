@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import chat, cotraining, decontaminate, embeddings, langid, mixing, sharding, simhash, urls, warc
 from ._common import read
-from .sql import SQL
+from .sql import SMALL_LEAF, SQL, TYPED
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +57,36 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose turns are given parts of every type."""
+    return chat.format_chats(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.expr(TYPED).alias("text")))
+
+
+def embedding_planted_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector and one a few degrees off."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    off = F.transform("embedding", lambda x, i: (x * (1 + (i % 3) * F.lit(0.0625))).cast("float"))
+    return embeddings.near_duplicates(vectors.unionByName(vectors.where("vec_id IS NOT NULL").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), off.alias("embedding"))))
+
+
+def sharding_small_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves small enough that a small table has many."""
+    return sharding.shard(read(spark, sf_dir, "documents"), SMALL_LEAF)
+
+
+def decontamination_renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and items with a number and a unit put into their sentences, other numbers here than there."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.expr("replace(text, ' of ', ' 7 km of ')").alias("text"))
+    return decontaminate.leaks(docs, read(spark, sf_dir, "benchmark").select("item_id", F.expr("replace(text, ' of ', ' 12 km of ')").alias("text")))
+
+
+#: The operators over derived tables, in which there is what the given ones lack.
+DERIVED = (chat_typed_parts, embedding_planted_copies, sharding_small_leaves, decontamination_renumbered)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {name: fn for name, fn in globals().items() if name.startswith("op")}
-    return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return dict(sorted(named.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {fn.__name__: fn for fn in DERIVED}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -70,11 +70,11 @@ WITH keyed AS MATERIALIZED (
 SELECT doc_id, k.source, tokens, min(tier)::INTEGER AS tier FROM keyed k JOIN cuts c ON k.source = c.source AND h < below GROUP BY doc_id, k.source, tokens
 """
 
-SQL["op2_chat_formatting"] = r"""
+_CHATS = r"""
 WITH turns AS (
   SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS content,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS m
-  FROM conversations WHERE conv_id IS NOT NULL
+  FROM {turns} WHERE conv_id IS NOT NULL
 ), typed AS (
   SELECT *, CASE WHEN ltrim(content) LIKE '[%' AND json_valid(content)
     THEN from_json(content, '[{"type":"VARCHAR","text":"VARCHAR","url":"VARCHAR","width":"INTEGER","height":"INTEGER","seconds":"DOUBLE","pages":"INTEGER"}]') END AS arr
@@ -91,10 +91,10 @@ WITH turns AS (
     sum((p.type IN ('image', 'audio', 'document'))::INTEGER) OVER (PARTITION BY conv_id ORDER BY m, i ROWS UNBOUNDED PRECEDING) AS number FROM each
 ), shown AS (
   SELECT conv_id, m, i,
-    CASE WHEN i = 0 THEN '<|start|>' || role || chr(10) ELSE '' END
-    || CASE WHEN att THEN '<|' || p.type || '_' || number || '|>' ELSE coalesce(p.text, '') END
+    CASE WHEN i = 0 THEN '<|start|>' || replace(regexp_replace(role, '[\r\n]', ' ', 'g'), '<|', '< |') || chr(10) ELSE '' END
+    || CASE WHEN att THEN '<|' || p.type || '_' || number || '|>' ELSE replace(coalesce(p.text, ''), '<|', '< |') END
     || CASE WHEN i = n - 1 THEN '<|end|>' || chr(10) ELSE '' END AS s,
-    CASE WHEN att THEN number || '|' || p.type || '|' || coalesce(p.url, '') END AS ref,
+    CASE WHEN att THEN number || '|' || p.type || '|' || replace(replace(replace(coalesce(p.url, ''), '|', '%7C'), chr(10), '%0A'), chr(13), '%0D') END AS ref,
     CASE WHEN att THEN 0 ELSE len(regexp_extract_all(coalesce(p.text, ''), '[\p{L}\p{N}]+|[^ \t\r\n\f\p{L}\p{N}]')) END AS text_tokens,
     CASE WHEN NOT att THEN 0
          WHEN p.type = 'image' THEN CASE WHEN p.width > 0 AND p.height > 0 THEN ceil(p.width / 28) * ceil(p.height / 28) ELSE 256 END
@@ -108,6 +108,13 @@ SELECT conv_id, max(m)::BIGINT AS messages, string_agg(s, '' ORDER BY m, i) AS r
 FROM shown GROUP BY conv_id
 """
 
+
+def chats_sql(turns: str = "conversations") -> str:
+    return _CHATS.replace("{turns}", turns)
+
+
+SQL["op2_chat_formatting"] = chats_sql()
+
 _URN = "'<urn:uuid:' || concat_ws('-', substr({h}, 1, 8), substr({h}, 9, 4), substr({h}, 13, 4), substr({h}, 17, 4), substr({h}, 21, 12)) || '>'"
 
 
@@ -235,14 +242,14 @@ cut AS (
 ), marked AS MATERIALIZED (
   SELECT u.*, m.bad FROM urls u LEFT JOIN marks m USING (page_id)
 ), t0 AS (
-  SELECT host, segs, '' AS template, count(bad)::BIGINT AS labelled, coalesce(sum(bad), 0)::BIGINT AS bad FROM marked WHERE host IS NOT NULL GROUP BY host, segs
+  SELECT host, segs, '' AS template, count(*) AS pages, count(bad)::BIGINT AS labelled, coalesce(sum(bad), 0)::BIGINT AS bad FROM marked WHERE host IS NOT NULL GROUP BY host, segs
 )"""]
     for k in range(depth):
         parts += [
-            f"b{k} AS (SELECT host, template, segs[{k + 1}] AS seg, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad, regexp_matches(segs[{k + 1}], '{variable}') AS variable FROM t{k} WHERE len(segs) > {k} GROUP BY host, template, seg)",
-            f"n{k} AS (SELECT *, sum((NOT variable)::INTEGER) OVER w AS children, sum(CASE WHEN variable THEN 0 ELSE labelled END) OVER w AS nl, sum(CASE WHEN variable THEN 0 ELSE bad END) OVER w AS nb FROM b{k} WINDOW w AS (PARTITION BY host, template))",
-            f"m{k} AS (SELECT host, template, seg, CASE WHEN variable OR children > 40 THEN '*' WHEN children > 1 AND pow((bad * nl - nb * labelled)::DOUBLE, 2) <= 3.84 * labelled::DOUBLE * nb::DOUBLE * (nl - nb)::DOUBLE THEN '~' ELSE seg END AS name FROM n{k})",
-            f"t{k + 1} AS MATERIALIZED (SELECT t.host, t.segs, CASE WHEN m.name IS NULL THEN t.template ELSE t.template || '/' || m.name END AS template, t.labelled, t.bad FROM t{k} t LEFT JOIN m{k} m ON t.host = m.host AND t.template = m.template AND t.segs[{k + 1}] = m.seg)",
+            f"b{k} AS (SELECT host, template, segs[{k + 1}] AS seg, sum(pages)::BIGINT AS n, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad, regexp_matches(segs[{k + 1}], '{variable}') AS variable FROM t{k} WHERE len(segs) > {k} GROUP BY host, template, seg)",
+            f"n{k} AS (SELECT *, sum((NOT variable)::INTEGER) OVER w AS children, sum(CASE WHEN variable THEN 0 ELSE n END) OVER w AS pages, sum(CASE WHEN variable THEN 0 ELSE labelled END) OVER w AS nl, sum(CASE WHEN variable THEN 0 ELSE bad END) OVER w AS nb FROM b{k} WINDOW w AS (PARTITION BY host, template))",
+            f"m{k} AS (SELECT host, template, seg, CASE WHEN variable THEN '*' WHEN children > 1 AND labelled >= 5 AND pow((bad * nl - nb * labelled)::DOUBLE, 2) * nl::DOUBLE <= 3.84::DOUBLE * labelled::DOUBLE * (nl - labelled)::DOUBLE * nb::DOUBLE * (nl - nb)::DOUBLE THEN '~' WHEN children > 1 AND labelled < 5 AND 2 * children > pages THEN '*' ELSE seg END AS name FROM n{k})",
+            f"t{k + 1} AS MATERIALIZED (SELECT t.host, t.segs, CASE WHEN m.name IS NULL THEN t.template ELSE t.template || '/' || m.name END AS template, t.pages, t.labelled, t.bad FROM t{k} t LEFT JOIN m{k} m ON t.host = m.host AND t.template = m.template AND t.segs[{k + 1}] = m.seg)",
         ]
     return "WITH " + ",\n".join(parts) + f""",
 prior AS (SELECT coalesce(sum(bad), 0)::DOUBLE / greatest(sum(labelled), 1) AS prior FROM t0),
@@ -358,3 +365,21 @@ QUALIFY kind = min(kind) OVER (PARTITION BY doc_id, item_id)
 
 
 SQL["op9_benchmark_decontamination"] = leaks_sql()
+
+# The operators over tables derived from the given ones, in which there is what
+# these lack: typed parts, near vectors, many leaves, re-parameterised items.
+
+#: Content of a turn by its number: parts of every type, with and without sizes.
+TYPED = """CASE conv_id % 3 + turn % 2
+  WHEN 0 THEN '[{"type":"text","text":"' || role || '"},{"type":"image","url":"i' || turn || '.png","width":' || (turn * 100 + 1) || ',"height":57},{"type":"audio","url":"a|b","seconds":' || turn || '.5}]'
+  WHEN 1 THEN '[{"type":"document","pages":' || (turn + 2) || '},null,{"type":"other","text":"<|end|>"},{"type":"image"},{"type":"audio"}]'
+  WHEN 2 THEN text ELSE '[' || text END"""
+SQL["chat_typed_parts"] = chats_sql(f"(SELECT conv_id, turn, role, {TYPED} AS text FROM conversations)")
+
+SQL["embedding_planted_copies"] = _classes_sql("(SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_transform(embedding, lambda x, i: (x * (1 + (i % 3) * 0.0625))::FLOAT) FROM embeddings WHERE vec_id IS NOT NULL)")
+
+#: Bytes of a leaf that give more than fifty at sf0.01.
+SMALL_LEAF = 40_000
+SQL["sharding_small_leaves"] = sharding_sql(SMALL_LEAF, 14)
+
+SQL["decontamination_renumbered"] = leaks_sql("(SELECT doc_id, replace(text, ' of ', ' 7 km of ') AS text FROM documents)", "(SELECT item_id, replace(text, ' of ', ' 12 km of ') AS text FROM benchmark)")

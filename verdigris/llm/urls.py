@@ -2,26 +2,26 @@
 
 Each host has a tree of path segments. Level by level, from the root, a segment
 turns into the wildcard * where it looks variable (numbers, hexadecimal, UUIDs,
-dates), or its node has many children and it has few labels or a rate of bad
-pages like its node's; of the other branches, those whose
-labelled rate of bad pages doesn't differ significantly from their node's are
-merged into the branch ~. A page's template is its path through the tree.
+dates). Of the other branches, those with enough labelled pages whose rate of bad
+ones doesn't differ significantly from that of all other branches of their
+node are merged into the branch ~. A branch with too few labels says nothing of its
+likeness: it keeps its name, unless its node's names hardly ever repeat (fewer
+than two pages a branch), which makes them a variable too. No width of a
+node changes these rules. A page's template is its path through the tree.
 A template is rejected if its share of bad pages, smoothed towards the share
 of the whole table, reaches a bound.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import durable
 
 DEPTH = 6
 VARIABLE = r"(?i)^(?:[0-9]+|[0-9a-f]{8,}|[0-9a-f]{8}-[0-9a-f-]{27}|[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?|.*[0-9]{4,}.*)$"
-#: Children beyond which a node's segments are taken as variable, unless their labels say otherwise.
-CHILDREN = 40
-#: Squared z-score up to which a branch is like its node.
+#: Squared z-score up to which a branch is like the others of its node.
 LIKE = 3.84
 #: Weight of the table's share in a template's, labelled pages and share from which it is rejected.
 SMOOTH, LEAST, REJECT = 5.0, 5, 0.4
@@ -52,18 +52,24 @@ def templates(paths: DataFrame) -> DataFrame:
     for level in range(DEPTH):
         seg = F.get("segs", F.lit(level))
         here = at.withColumn("seg", seg).withColumn("variable", F.col("seg").rlike(VARIABLE))
-        branch = here.where("seg IS NOT NULL").groupBy("host", "template", "seg", "variable").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        node = Window.partitionBy("host", "template")
-        fixed = F.when(~F.col("variable"), 1).otherwise(0)
-        decided = branch.select(
-            "host", "template", "seg", "variable", "labelled", "bad", F.sum(fixed).over(node).alias("children"),
-            F.sum(fixed * F.col("labelled")).over(node).alias("node_labelled"), F.sum(fixed * F.col("bad")).over(node).alias("node_bad"),
+        branch = here.where("seg IS NOT NULL").groupBy("host", "template", "seg", "variable").agg(F.sum("pages").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        branch = durable(branch)
+        # combined before it moves: a hot host's node is one row
+        node = branch.where("NOT variable").groupBy("host", "template").agg(
+            F.count("*").alias("children"), F.sum("n").alias("node_pages"), F.sum("labelled").alias("node_labelled"), F.sum("bad").alias("node_bad")
+        )
+        decided = branch.join(node, ["host", "template"], "left")
+        # z² of the branch's bad pages against those of the node's other branches,
+        # in whole numbers: (bad·N - B·n)² · N against LIKE · n · (N - n) · B · (N - B)
+        n, b, all_n, all_b = (F.col(c).cast("double") for c in ("labelled", "bad", "node_labelled", "node_bad"))
+        off = b * all_n - all_b * n
+        like = off * off * all_n <= LIKE * n * (all_n - n) * all_b * (all_n - all_b)
+        enough = F.col("labelled") >= LEAST
+        several = F.col("children") > 1
+        name = (
+            F.when(F.col("variable"), "*").when(several & enough & like, "~")
+            .when(several & ~enough & (2 * F.col("children") > F.col("node_pages")), "*").otherwise(F.col("seg"))
         )
-        # z² of the branch's bad pages under its node's share, in whole numbers:
-        # (bad·N - B·n)² against LIKE · n · B · (N - B)
-        off = (F.col("bad") * F.col("node_labelled") - F.col("node_bad") * F.col("labelled")).cast("double")
-        like = off * off <= LIKE * F.col("labelled").cast("double") * F.col("node_bad").cast("double") * (F.col("node_labelled") - F.col("node_bad")).cast("double")
-        name = F.when(F.col("variable") | ((F.col("children") > CHILDREN) & (like | (F.col("labelled") < LEAST))), F.lit("*")).when((F.col("children") > 1) & like, F.lit("~")).otherwise(F.col("seg"))
         named = decided.select("host", "template", "seg", name.alias("name"))
         joined = here.join(named, ["host", "template", "seg"], "left")
         at = durable(
@@ -80,7 +86,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", ur
     ``labels`` has ``page_id`` and ``bad`` (0 or 1); nulls in either are unlabelled,
     and a page that is labelled more than once is bad if any label says so. Pages
     without a host have a null template, no counts and aren't rejected; so do null URLs. The root path's
-    template is '/'. Rows that repeat a page are each counted.
+    template is '/'. Rows that repeat a page are each counted. An empty table gives an empty one.
+    Segments beyond ``DEPTH`` are one.
     """
     urls = split_urls(pages, id_col, url_col)
     marks = labels.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy(F.col("page_id").cast("bigint").alias("page_id")).agg(F.max(F.col("bad").cast("bigint")).alias("bad"))
