@@ -48,6 +48,8 @@ MEMO = 400_000
 #: Buckets of the one-hot source and language, and bits of a word's hash.
 SOURCES, LANGS, BITS = 32, 8, 22
 UNITS = 1 << BITS
+#: Labels up to which they are sent to every task (16 MB).
+FEW = 1_000_000
 #: Word numbers that a task holds before it sums them.
 HELD = 4_000_000
 
@@ -345,18 +347,30 @@ def _fit_text(words: list[np.ndarray], y: np.ndarray, good: np.ndarray, bad: np.
     return logistic(x, y)
 
 
-def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model | None:
-    """A model of ``rows`` (``features`` of documents, written) and ``labels`` (doc_id, y).
+def marked(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
+    """``rows`` (``features`` of documents) with the label ``y`` of ``labels`` (doc_id, y), null
+    without one, and the row's ``role``; written. They are joined this once: where the
+    labels are at most ``FEW`` rows, by counting, they are broadcast.
 
-    Null labels and ids are not used; a document labelled more than once counts
-    as 0 if any label is. Rows that repeat an id each count, but in the sample only the
-    one whose words sort first. None if the sample lacks either class.
+    Null labels and ids are not used; a document labelled more than once counts as 0
+    if any label is.
     """
     marks = durable(labels.where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("y").cast("int")).alias("y")))
-    share = min(1.0, labelled / max(1, marks.count()))
+    number = marks.count()
+    share = min(1.0, labelled / max(1, number))
     at = key_hash(F.lit("held out"), F.col("doc_id")) / float(1 << 60)
     role = F.when(F.col("y").isNull(), "free").when(at < HELD_OUT * share, "held").when(at < share, "fit").otherwise("counted")
-    marked = rows.join(marks, "doc_id", "left").withColumn("role", role)
+    return durable(rows.join(F.broadcast(marks) if number <= FEW else marks, "doc_id", "left").withColumn("role", role))
+
+
+def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> Model | None:
+    """``fit`` of ``marked`` rows."""
+    return fit(marked(rows, labels, labelled), rounds)
+
+
+def fit(marked: DataFrame, rounds: int = ROUNDS) -> Model | None:
+    """A model of ``marked`` rows. Rows that repeat an id each count, but in the sample
+    only the one whose words sort first. None if the sample lacks either class."""
     sample = marked.where("role IN ('held', 'fit')").groupBy("doc_id").agg(F.min(F.struct("words", "shape", "y", "role")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toArrow()
     sample = sample.combine_chunks()
     if not sample.num_rows:
@@ -413,12 +427,12 @@ def score(rows: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-                  quality_col: str = "quality", toxic_col: str = "toxic", **bounds) -> DataFrame:
+                  quality_col: str = "quality", toxic_col: str = "toxic", labelled: int = LABELLED, rounds: int = ROUNDS) -> DataFrame:
     """``score`` of every row of ``docs`` by a model of ``labels`` (good = quality 1
     and not toxic). Null and empty texts are scored as empty; rows with a null or repeated id
     like any other. Without labels of both classes scores are null and everything is kept. An
     empty table gives an empty one."""
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"))
     good = ((F.col(quality_col) == 1) & (F.col(toxic_col) == 0)).cast("int")
-    rows = durable(features(named))
-    return score(rows, train(rows, labels.select(F.col(id_col).cast("bigint").alias("doc_id"), good.alias("y")), **bounds))
+    rows = marked(features(named), labels.select(F.col(id_col).cast("bigint").alias("doc_id"), good.alias("y")), labelled)
+    return score(rows, fit(rows, rounds))
