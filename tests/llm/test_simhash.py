@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from llm_data import make_words, sentence
 from verdigris.llm import simhash as S
@@ -101,6 +102,35 @@ def test_search_in_memory_is_exact(radius, chunk, monkeypatch):
         assert sorted(got) == [(i, j) for i in range(len(points)) for j in range(len(others)) if near(points[i], others[j])]
 
 
+@pytest.mark.parametrize("radius", range(16))
+def test_blocks_lose_no_pair(radius):
+    for bits in (4, 10, 13):
+        found = S.blocks(radius, bits)
+        assert sum(most + 1 for _, _, most in found) > radius
+        assert all(a + width <= b for (a, width, _), (b, _, _) in zip(found, [*found[1:], (64, 0, 0)]))
+
+
+def test_comparisons_are_bounded_in_size_and_exact(monkeypatch):
+    monkeypatch.setattr(S, "CELLS", 64)
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 2**63, 3, dtype=np.uint64)[rng.integers(0, 3, 300)] ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64))
+    want = {(i, j) for i in range(300) for j in range(i) if (int(points[i]) ^ int(points[j])).bit_count() <= 10}
+    got = [p for i, j in S.near_in_memory(points, points, 10, True, 0) for p in zip(i.tolist(), j.tolist())]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_few_shards_meet_in_a_larger_table(spark, monkeypatch):
+    def meet(radius):
+        return lambda key, group: pd.DataFrame({"node": [key[0]], "links": [len(group)], "a": [key[1]], "b": [key[2]]})
+
+    monkeypatch.setattr(S, "_meet", meet)
+    n = 300_000
+    nodes = S.durable(spark.range(n).selectExpr("id AS node", "id AS rep", "xxhash64(id) AS fp", "xxhash64(id, 1) AS chk", "1L AS copies"))
+    meetings = S.linked(nodes).collect()
+    assert sum(r.links for r in meetings) <= 6 * n
+    assert max(r.links for r in meetings) <= 2 * S.SHARD
+
+
 def test_unite():
     root = np.arange(10)
     unite(root, np.array([9, 5, 5, 2]), np.array([5, 7, 3, 4]))

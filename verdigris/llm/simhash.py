@@ -12,9 +12,13 @@ Distinct fingerprints are partitioned by a vantage-point tree: a node divides
 them at the median Hamming distance from its vantage fingerprint, until a leaf
 fits a shard. A query descends into each side that the triangle bound can't
 exclude, so it visits every shard that its ball overlaps, and is compared there.
-Inside a shard the four 16-bit quarters serve as filter: words within 10 bits
-are within 2 bits in one quarter at least, which leaves a hundredth of the
-comparisons and loses none.
+Inside a shard five blocks of 12 or 13 bits serve as filter: words within 10
+bits are within 2 bits in the first block or within 1 in another, which leaves
+a fiftieth of the comparisons and loses none. Words that agree in a block lie
+together and are compared with all their neighbours in one array operation.
+
+The comparisons are fewest where shards are large, and so are the copies of
+words that meet other shards, so a shard grows with the table up to ``SHARD``.
 
 Linked documents form classes (connected components). Shards return a number of
 links and one edge for each fingerprint, never their pairs, so results grow with
@@ -39,10 +43,15 @@ from .graph import components, unite
 RADIUS = 10
 #: Bits in which the second hash may differ.
 CONFIRM = 16
-#: Fingerprints that a leaf holds, and a tile of its visitors.
-SHARD = 32_768
-#: Candidate pairs that are compared at once.
+#: Fingerprints that a leaf holds, and a tile of its visitors: a third of the table, but
+#: ``LEAST`` at least and ``SHARD`` at most.
+LEAST, SHARD = 32_768, 262_144
+#: Bits of the blocks by which a shard is searched.
+BLOCKS = (13, 13, 13, 13, 12)
+#: Pairs that are given out at once.
 CHUNK = 1 << 20
+#: Pairs that are compared at once.
+CELLS = 1 << 18
 #: Words whose hashes a Python worker remembers.
 MEMO = 400_000
 
@@ -155,14 +164,21 @@ def masks(bits: int, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(bits), k)], np.int64)
 
 
+def blocks(radius: int, bits: int) -> list[tuple[int, int, int]]:
+    """``(shift, width, most)`` of blocks of at most ``bits`` bits: words within ``radius``
+    differ in at most ``most`` bits in one of them, as the sum of ``most + 1`` exceeds the radius."""
+    starts = np.cumsum((0, *BLOCKS)).tolist()
+    found = [(s, min(w, bits), (radius - k) // len(BLOCKS)) for k, (s, w) in enumerate(zip(starts, BLOCKS))]
+    return [x for x in found if x[2] >= 0]
+
+
 def near_in_memory(fp: np.ndarray, other: np.ndarray, radius: int, same: bool, scan: int = 1 << 23) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (of ``fp``, of ``other``) within ``radius``, each once, in
     chunks of bounded size; with ``same`` the two are one array and pairs have
-    the first index greater. Small inputs are scanned, others filtered by quarters."""
+    the first index greater. Small inputs are scanned, others filtered by blocks."""
     if not len(fp) or not len(other):
         return
-    most = radius // 4
-    if len(fp) * len(other) <= scan or most > 2:
+    if len(fp) * len(other) <= scan or radius // len(BLOCKS) > 3:
         step = max(1, 131_072 // len(fp))
         for at in range(0, len(other), step):
             j, i = np.nonzero(np.bitwise_count(other[at : at + step, None] ^ fp[None]) <= radius)
@@ -170,35 +186,58 @@ def near_in_memory(fp: np.ndarray, other: np.ndarray, radius: int, same: bool, s
             keep = i > j if same else slice(None)
             yield i[keep], j[keep]
         return
-    quarter = lambda x, k: ((x >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)
-    for k in range(4):
-        mine, theirs = quarter(fp, k), quarter(other, k)
-        order = np.argsort(mine, kind="stable")
-        count = np.bincount(mine, minlength=1 << 16)
-        start = np.cumsum(count) - count
-        for mask in masks(16, most):
-            value = theirs ^ mask
-            many = count[value]
-            asked = np.flatnonzero(many)
-            upto = np.cumsum(many[asked])
-            at = 0
-            while at < len(asked):
-                done = upto[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(upto, done + CHUNK, "right")))
-                part = asked[at:to]
-                n = many[part]
-                j = np.repeat(part, n)
-                i = order[np.repeat(start[value[part]] - (np.cumsum(n) - n), n) + np.arange(len(j))]
-                apart = fp[i] ^ other[j]
-                hit = np.flatnonzero(np.bitwise_count(apart) <= radius)
-                if len(hit):
-                    i, j, apart = i[hit], j[hit], apart[hit]
-                    # a pair counts in the first of the quarters that would find it
-                    keep = i > j if same else np.ones(len(i), bool)
+    # some 32 words a key, so that a comparison of arrays outweighs its call
+    parts = blocks(radius, max(4, len(other).bit_length() - 6))
+    words = [np.uint64(((1 << w) - 1) << s) for s, w, _ in parts]
+    cells, counts = np.empty(CELLS, np.uint64), np.empty(CELLS, np.uint8)
+    found, size = [], 0
+    for k, (shift, width, most) in enumerate(parts):
+        sides = []
+        for x in (fp,) if same else (fp, other):
+            key = ((x & words[k]) >> np.uint64(shift)).astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            many = np.bincount(key, minlength=1 << width)
+            sides.append((x[order], order, many, np.cumsum(many) - many))
+        (mine, my_order, my_many, my_start), (theirs, their_order, their_many, their_start) = sides[0], sides[-1]
+        apart_by = masks(width, most)
+        for v in np.flatnonzero(my_many).tolist():
+            near = apart_by ^ v
+            if same:
+                near = near[near >= v]  # each two keys meet once
+            near = near[their_many[near] > 0]
+            if not len(near):
+                continue
+            start, upto = their_start[near], np.cumsum(their_many[near])
+            theirs_near = np.concatenate([theirs[a:b] for a, b in zip(start.tolist(), (start + their_many[near]).tolist())])
+            first, last = int(my_start[v]), int(my_start[v] + my_many[v])
+            wide = min(len(theirs_near), CELLS)
+            high = CELLS // wide
+            for at in range(first, last, high):
+                rows = mine[at : min(at + high, last), None]
+                for left in range(0, len(theirs_near), wide):
+                    columns = theirs_near[None, left : left + wide]
+                    shape = (len(rows), columns.shape[1])
+                    apart = np.bitwise_xor(rows, columns, out=cells[: shape[0] * shape[1]].reshape(shape)).ravel()
+                    hit = np.flatnonzero(np.bitwise_count(apart, out=counts[: len(apart)]) <= radius)
+                    # a pair counts in the first of the blocks that would find it
                     for before in range(k):
-                        keep &= np.bitwise_count(quarter(apart, before)) > most
-                    yield i[keep], j[keep]
-                at = to
+                        hit = hit[np.bitwise_count(apart[hit] & words[before]) > parts[before][2]]
+                    if not len(hit):
+                        continue
+                    i, j = np.divmod(hit, shape[1])
+                    j += left
+                    of = np.searchsorted(upto, j, "right")
+                    i, j = my_order[at + i], their_order[start[of] + j - (upto[of] - their_many[near[of]])]
+                    if same:
+                        keep = (near[of] != v) | (i > j)
+                        i, j = np.maximum(i, j)[keep], np.minimum(i, j)[keep]
+                    found.append((i, j))
+                    size += len(i)
+                    if size >= CHUNK:
+                        yield tuple(map(np.concatenate, zip(*found)))
+                        found, size = [], 0
+    if found:
+        yield tuple(map(np.concatenate, zip(*found)))
 
 
 def _meet(radius: int):
@@ -207,7 +246,7 @@ def _meet(radius: int):
 
     def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         same = key[1] == key[2]
-        group = group.sort_values(["side", "rep", "node"], ignore_index=True)
+        group = group.iloc[np.argsort(group.side.to_numpy(), kind="stable")]
         left = int((group.side == 0).sum())
         fp, chk = group.fp.to_numpy().view(np.uint64), group.chk.to_numpy().view(np.uint64)
         copies = group.copies.to_numpy(np.int64)
@@ -226,10 +265,13 @@ def _meet(radius: int):
     return work
 
 
-def linked(unique: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def linked(unique: DataFrame, radius: int = RADIUS, shard: int | None = None) -> DataFrame:
     """``(node, links, a, b)`` of ``unique`` (node, rep, fp, chk, copies): parts of
     the number of documents that a node's are linked to, outside the node, and
-    edges between representatives that connect what is linked. Exact."""
+    edges between representatives that connect what is linked. Exact. Without a ``shard``
+    its size is chosen by the number of rows."""
+    if shard is None:
+        shard = min(SHARD, max(LEAST, unique.count() // 3))
     placed = unique.select("node", "rep", "fp", "chk", "copies", F.lit(1).cast("bigint").alias("path"))
     stored, levels = _grow(placed, shard)
     queries = stored.withColumnRenamed("path", "own").withColumn("path", F.lit(1).cast("bigint"))
@@ -253,7 +295,7 @@ def linked(unique: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataF
     return meetings.groupBy("path", "i", "j").applyInPandas(_meet(radius), "node bigint, links bigint, a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int | None = None) -> DataFrame:
     """``(doc_id, class_id, links, kept)``, a row a document.
 
     ``class_id`` is the smallest id of the document's class, all documents that
@@ -282,7 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return each.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shard: int | None = None) -> DataFrame:
     """``docs`` with one document (the smallest id) of each class. Rows without a
     word or with a null id stay. Of rows that repeat an id that stays, all stay.
     Extra columns pass through untouched. An empty table gives an empty one."""
