@@ -69,6 +69,18 @@ def test_warc(spark):
         assert fields["WARC-Date"] == source.warc_date
 
 
+def test_warc_strips_markup_once(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a &#65;</p>")], "page_id bigint, url string, html string")
+    plan = W.derivatives(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("|template") == 1 and plan.count("|article|") == 1
+
+
+def test_warc_white_space(spark):
+    html = "  <p> a \t b\r\n \n c  d </p>\f<style>x</style><!-- y --> e \u2028"
+    df = spark.createDataFrame([(html,), ("<b> \n </b>",), ("a \n",)], "html string")
+    assert [r[0] for r in df.select(W.plain_text(df.html)).collect()] == ["a b\nc d\n e \u2028".replace("\n e", "\ne"), "", "a"]
+
+
 def test_warc_hostile(spark, tmp_path):
     rows = [(1, None, None), (2, "u", ""), (None, "u", "x"), (3, "u", "<p>" * 200_000), (3, "u", "<p>" * 200_000), (4, "u", "<script>never closed"), (5, "u", "a < b <! > c")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'clash' AS text", "'clash' AS payload", "'clash' AS r")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 DATE = "2026-01-01T00:00:00Z"
 STATUS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 #: Elements without visible text.
-HIDDEN = r"(?is)<!--.*?(?:-->|\z)" + "".join(rf"|<{e}\b.*?(?:</{e}\s*>|\z)" for e in ("title", "script", "style", "noscript", "template"))
+HIDDEN = r"(?is)<(?:!--.*?(?:-->|\z)" + "".join(rf"|{e}\b.*?(?:</{e}\s*>|\z)" for e in ("title", "script", "style", "noscript", "template")) + ")"
 #: Tags that end a line.
 BREAKS = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|article|section|header|footer|main|aside|nav|blockquote|pre|form)\b[^>]*(?:>|\z)"
 TAG = r"<[A-Za-z/!?][^>]*(?:>|\z)"
@@ -52,14 +52,24 @@ def _decoded(text: Column) -> Column:
     return text
 
 
-def plain_text(html: Column) -> Column:
-    """Visible text, a line per block; HTML's core entities and numeric references are decoded."""
+def bare(html: Column) -> Column:
+    """The text between tags, a line per block; references are left as they are."""
     text = F.regexp_replace(html, HIDDEN, " ")
     text = F.regexp_replace(text, BREAKS, "\n")
-    text = _decoded(F.regexp_replace(text, TAG, ""))
-    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
-    text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
+    return F.regexp_replace(text, TAG, "")
+
+
+def laid_out(text: Column) -> Column:
+    """``bare`` text with HTML's core entities and numeric references decoded and its white space made even."""
+    # what is a single space or line end already isn't replaced by itself
+    text = F.regexp_replace(_decoded(text), r"[\t\r\f][ \t\r\f]*| [ \t\r\f]+", " ")
+    text = F.regexp_replace(text, r"\n[ \n]+| \n[ \n]*", "\n")
+    return F.btrim(text, F.lit(" \n"))
+
+
+def plain_text(html: Column) -> Column:
+    """Visible text, a line per block; HTML's core entities and numeric references are decoded."""
+    return laid_out(bare(html))
 
 
 def urn(*parts: Column) -> Column:
@@ -97,12 +107,14 @@ def derive(sources: DataFrame) -> DataFrame:
     kept beside it as an extension field.
     """
     digest = lambda c: F.concat(F.lit("sha256:"), F.sha2(c, 256))
-    base = sources.select(
+    # columns of their own, since decoding names its text several times and would make it anew each time
+    parts = sources.withColumns({"bare": bare(F.col("payload")), "raw_title": F.regexp_extract("payload", TITLE, 1)})
+    base = parts.select(
         "page_id", "record_id", "target_uri", "warc_date", "http_header",
         digest(F.col("payload")).alias("source_digest"),
         F.octet_length("payload").alias("source_length"),
-        plain_text(F.col("payload")).alias("text"),
-        F.regexp_replace(_decoded(F.regexp_extract("payload", TITLE, 1)), r"[ \t\r\n\f]+", " ").alias("title"),
+        laid_out(F.col("bare")).alias("text"),
+        F.regexp_replace(_decoded(F.col("raw_title")), r"[ \t\r\n\f]+", " ").alias("title"),
         F.lower(F.regexp_extract("payload", LANG, 1)).alias("html_lang"),
         F.regexp_count("payload", F.lit(LINK)).cast("bigint").alias("links"),
     )
