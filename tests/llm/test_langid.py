@@ -45,6 +45,28 @@ def test_words_come_first_then_longer_grams(table):
     assert model.score("日本") is None or "<" in model.units[1]
 
 
+def test_new_words_are_scored_together(table, monkeypatch):
+    model = L.train(L.sample(table))
+    rng = random.Random(9)
+    words = [*list(model.units[0])[:50], "", "a", "日本", "aü日本ß", "q" * 5_000, "\U0001f600x", "\ud800a"]
+    words += ["".join(rng.choice("abcdeinorstß日") for _ in range(rng.randint(1, 12))) for _ in range(2_000)]
+    want = {w: model.score(w) for w in words}
+    one_by_one = L.Model.score
+    monkeypatch.setattr(L.Model, "score", None)
+    memo = L.Scores(model)
+    assert memo.grams is not None
+    memo.learn(words)
+    # a model of too many characters is asked word by word
+    monkeypatch.setattr(L.Model, "score", one_by_one)
+    monkeypatch.setattr(L.Grams, "of", lambda model: None)
+    other = L.Scores(model)
+    other.learn(words)
+    for w in set(words):
+        assert (memo[w] == 0) == (other[w] == 0) == (want[w] is None)
+        if want[w] is not None:
+            assert list(memo.table[memo[w]]) == list(other.table[other[w]]) == list(want[w])
+
+
 def test_brute_force(table):
     model = L.train(L.sample(table))
     for r in L.identify(table, model).join(table, "doc_id").limit(40).collect():

@@ -56,6 +56,30 @@ def test_equal_documents_divide_by_hash(spark):
     assert {r.leaf for r in K.shard(one, 1_000).collect()} == {1}
 
 
+def test_documents_find_their_shard_where_they_lie(spark, tmp_path):
+    rows = [(i, "wörd " * (1 + i * i % 37), f"l{i % 3}" if i % 11 else None, f"s{i % 5}" if i % 7 else "") for i in range(600)]
+    # ids that repeat in other leaves get the smallest
+    more = [(i, "x" * 400, "zz", "s9") for i in range(0, 30, 3)]
+    path = str(tmp_path / "docs")
+    schema = "doc_id bigint, text string, lang string, source string"
+    for name, given in (("once", rows), ("again", rows + more)):
+        spark.createDataFrame(given, schema).write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+        leaves = {}
+        for r in K.shard(docs, 1_000).collect():
+            leaves.setdefault(r.doc_id, []).append(r.leaf)
+        assert len({x for v in leaves.values() for x in v}) > 30
+        out = K.add_shards(docs, 1_000)
+        got = [(r.doc_id, r.shard) for r in out.collect()]
+        assert len(got) == len(given)
+        assert all(shard == min(leaves[i]) for i, shard in got)
+        if name == "once":
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "Join" not in plan and "Exchange" not in plan
+        else:
+            assert any(len(set(v)) > 1 for v in leaves.values())
+
+
 def test_hostile(hostile, empty):
     got = K.shard(hostile, 2_000).collect()
     assert len(got) == hostile.count()

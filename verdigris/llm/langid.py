@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ BACKOFF = 400_000
 #: the best language over the second, or if fewer words than this share are recognised.
 MIN_LEAD = 50_000
 MIN_KNOWN = 0.5
-#: Words whose scores a Python worker remembers.
+#: Words whose scores a Python worker remembers, beyond those of one chunk.
 MEMO = 400_000
+#: Characters of text that are scored at once, but for a longer document, and new words.
+CHUNK, NEW = 1 << 18, 1 << 13
 
 
 @dataclass
@@ -61,12 +64,81 @@ class Model:
         return None
 
 
+def codepoints(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@dataclass
+class Grams:
+    """A model's n-grams as sorted whole numbers, to look up those of many words at once.
+    Each character of the model's has a number from 1, and a gram those of its
+    characters in ``bits`` bits each; other characters are 0, which no gram has."""
+
+    logp: np.ndarray
+    bits: int
+    number: np.ndarray
+    keys: list[np.ndarray]
+    rows: list[np.ndarray]
+
+    @staticmethod
+    def of(model: Model) -> Grams | None:
+        """None if the model has too many characters for 63 bits a gram."""
+        points = [codepoints("".join(units)) for units in model.units[1:]]
+        alphabet = np.unique(np.concatenate(points))
+        bits = max(1, len(alphabet).bit_length())
+        if bits * LONGEST > 63:
+            return None
+        number = np.zeros(0x110000, np.int32)
+        number[alphabet] = np.arange(1, len(alphabet) + 1)
+        found = Grams(model.logp, bits, number, [], [])
+        for n, (units, each) in enumerate(zip(model.units[1:], points), 1):
+            keys = found.packed(number[each].astype(np.int64), np.arange(0, len(each), n), n)
+            order = np.argsort(keys)
+            found.keys.append(keys[order])
+            found.rows.append(np.fromiter(units.values(), np.int64, len(units))[order])
+        return found
+
+    def packed(self, numbers: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """The n-grams that begin ``at`` these places."""
+        key = np.zeros(len(at), np.int64)
+        for k in range(n):
+            key = key << self.bits | numbers[at + k]
+        return key
+
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What ``Model.score`` gives for words that aren't the model's: rows of
+        scores, and which words are recognised."""
+        numbers = self.number[codepoints("<" + "><".join(words) + ">")].astype(np.int64)
+        long = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        word, end = np.repeat(np.arange(len(words)), long), np.repeat(np.cumsum(long), long)
+        scores, told = np.zeros((len(words), self.logp.shape[1]), np.int64), np.zeros(len(words), bool)
+        at = np.arange(len(numbers))
+        for n in range(LONGEST, 0, -1):
+            keys = self.keys[n - 1]
+            fits = at[at + n <= end[at]]
+            if not len(keys) or not len(fits):
+                continue
+            key = self.packed(numbers, fits, n)
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[place] == key
+            of = word[fits[hit]]  # in order
+            if not len(of):
+                continue
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            sums = np.add.reduceat(self.logp[self.rows[n - 1][place[hit]]], starts, axis=0)
+            scores[of[starts]] = np.floor(sums / np.diff(starts, append=len(of))[:, None]).astype(np.int64) - BACKOFF
+            told[of] = True
+            at = at[~told[word[at]]]
+        return scores, told
+
+
 class Scores(dict):
     """Word -> row of a table of scores (row 0: not recognised), remembered up to a bound."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.grams = Grams.of(model)
         self.start()
 
     def start(self) -> None:
@@ -74,16 +146,32 @@ class Scores(dict):
         self.table = np.zeros((4096, len(self.model.langs)), np.int64)
         self.used = 1
 
-    def __missing__(self, word: str) -> int:
-        scores = self.model.score(word)
-        row = 0
-        if scores is not None:
-            if self.used == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[self.used] = scores
-            row, self.used = self.used, self.used + 1
-        self[word] = row
-        return row
+    def learn(self, words: list[str]) -> None:
+        """Add those of the words that aren't there, many in one array operation."""
+        new = [w for w in set(words) if w not in self]
+        for at in range(0, len(new), NEW):
+            self._add(new[at : at + NEW])
+
+    def _add(self, new: list[str]) -> None:
+        if self.grams is None:
+            each = [self.model.score(w) for w in new]
+            told = np.array([x is not None for x in each])
+            scores = np.array([self.table[0] if x is None else x for x in each])
+        else:
+            rows = np.fromiter((self.model.units[0].get(w, -1) for w in new), np.int64, len(new))
+            scores, told = self.model.logp[rows], rows >= 0
+            if not told.all():
+                at = np.flatnonzero(~told)
+                scores[at], told[at] = self.grams.score([new[i] for i in at.tolist()])
+        count = int(np.count_nonzero(told))
+        used = self.used + count
+        if used > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), used - len(self.table)), self.table.shape[1]), np.int64)])
+        self.table[self.used : used] = scores[told]
+        row = np.zeros(len(new), np.int64)
+        row[told] = np.arange(self.used, used)
+        self.used = used
+        self.update(zip(new, row.tolist()))
 
 
 def sample(docs: DataFrame, per_lang: int = TRAIN_DOCS, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -154,33 +242,47 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         model = Model(*shared.value)
         memo = Scores(model)
         find = WORD.findall
-        for batch in batches:
-            out: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                words = find(text.lower()) if text else []
-                if not words or not model.langs:
-                    out.append((key, None, 0, 0, len(words), 0, False))
-                    continue
-                if len(memo) >= MEMO:
-                    memo.start()
-                rows = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-                known = int(np.count_nonzero(rows))
-                total = memo.table[rows].sum(axis=0)
-                if not known:
-                    out.append((key, None, 0, 0, len(words), 0, False))
-                    continue
-                best = int(total.argmax())
-                score = int(total[best])
-                lead = score - int(np.delete(total, best).max()) if len(total) > 1 else 0
-                kept = lead >= min_lead * known and known >= min_known * len(words)
-                out.append((key, model.langs[best], score, lead, len(words), known, kept))
-            columns = list(zip(*out)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))],
+
+        def scored(keys: pa.Array, words: list[list[str]]) -> pa.RecordBatch:
+            if len(memo) >= MEMO:
+                memo.start()
+            every = list(chain.from_iterable(words)) if model.langs else []
+            memo.learn(every)
+            many = np.fromiter(map(len, words), np.int64, len(words))
+            known, score, lead = (np.zeros(len(words), np.int64) for _ in range(3))
+            best = np.full(len(words), -1, np.int64)
+            if every:
+                rows = np.fromiter(map(memo.__getitem__, every), np.int64, len(every))
+                some = many > 0
+                starts = (np.cumsum(many) - many)[some]
+                known[some] = np.add.reduceat(rows > 0, starts, dtype=np.int64)
+                told = known > 0
+                total = np.add.reduceat(memo.table[rows], starts, axis=0)[told[some]]
+                best[told] = first = total.argmax(axis=1)
+                each = np.arange(len(total))
+                score[told] = total[each, first]
+                if total.shape[1] > 1:
+                    total[each, first] = np.iinfo(np.int64).min
+                    lead[told] = score[told] - total.max(axis=1)
+            kept = (known > 0) & (lead >= min_lead * known) & (known >= min_known * many)
+            langs = pa.array([model.langs[k] if k >= 0 else None for k in best.tolist()], pa.string())
+            return pa.RecordBatch.from_arrays(
+                [keys, langs, *map(pa.array, (score, lead, many, known, kept))],
                 ["doc_id", "lang_pred", "score", "lead", "words", "known", "kept"],
             )
 
+        for batch in batches:
+            words: list[list[str]] = []
+            at, long = 0, 0
+            for text in batch.column(1):
+                text = text.as_py() or ""
+                words.append(find(text.lower()))
+                long += len(text)
+                if long >= CHUNK:
+                    yield scored(batch.column(0).slice(at, len(words)), words)
+                    at, words, long = at + len(words), [], 0
+            yield scored(batch.column(0).slice(at, len(words)), words)
+
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(work, "doc_id bigint, lang_pred string, score bigint, lead bigint, words bigint, known bigint, kept boolean")
 
