@@ -93,6 +93,8 @@ class Stemmer:
     """Token column -> stem column, in one or more projections."""
 
     name = "custom"
+    #: Whether the steps are expressions without Python, which may be applied inside an array.
+    native = False
 
     def steps(self) -> list[Callable[[Column], Column]]:
         raise NotImplementedError
@@ -108,6 +110,7 @@ class Stemmer:
 
 class NoStemmer(Stemmer):
     name = "none"
+    native = True
 
     def steps(self) -> list[Callable[[Column], Column]]:
         return []
@@ -181,6 +184,7 @@ class PorterStemmer(Stemmer):
     it isn't idempotent."""
 
     name = "porter-1"
+    native = True
 
     def steps(self) -> list[Callable[[Column], Column]]:
         return [plural, verbal]
@@ -218,5 +222,39 @@ class Analyzer:
         term = F.coalesce("term", F.lit(""))
         return rows.withColumn("term", term if head is None else F.when(F.col("pos") < 0, head).otherwise(term))
 
+    def lists(self, df: DataFrame, text: str, *keep: str, only: list[str] | None = None, positions: bool = True) -> DataFrame:
+        """``keep`` columns with ``dl`` and ``lists``, a row a text: of each term, in order, its
+        count ``tf`` and ``positions``; with ``only``, of these terms alone. A row is worked out by
+        itself, so memory is that of one text. The stemmer must be ``native``."""
+        stems = self.tokens(F.col(text))
+        for step in self.stemmer.steps():
+            stems = F.transform(stems, step)
+        rows = df.select(*keep, stems.alias("__stems")).withColumn("dl", F.size("__stems").cast("bigint"))
+        # terms are never null, and are sorted with their positions where these are wanted
+        found = F.transform("__stems", lambda t: F.coalesce(t, F.lit("")))
+        if positions:
+            found = F.transform("__stems", lambda t, i: F.struct(F.coalesce(t, F.lit("")).alias("term"), i.alias("pos")))
+
+        def term(x: Column) -> Column:
+            return x["term"] if positions else x
+
+        if only is not None:
+            found = F.filter(found, lambda x: term(x).isin(only))
+
+        def begins(s: Column) -> Column:
+            return F.filter(F.transform(s, lambda x, i: i), lambda i: (i == 0) | (term(F.get(s, i)) != term(F.get(s, i - 1))))
+
+        def lists(h: Column) -> Column:
+            def one(b: Column, j: Column) -> Column:
+                end = F.coalesce(F.get(h["at"], j + 1), F.size(h["s"]))
+                own = [F.transform(F.sequence(b, end - 1), lambda i: F.get(h["s"], i)["pos"]).alias("positions")] if positions else []
+                return F.struct(term(F.get(h["s"], b)).alias("term"), (end - b).cast("bigint").alias("tf"), *own)
+
+            return F.transform(h["at"], one)
+
+        # held in arrays of one, so that each step is worked out once a row
+        held = F.transform(F.array(F.sort_array(found)), lambda s: F.struct(s.alias("s"), begins(s).alias("at")))
+        return rows.select(*keep, "dl", F.get(F.transform(held, lists), F.lit(0)).alias("lists"))
+
     def manifest(self) -> str:
         return json.dumps(self.tokenizer.manifest() | self.stopper.manifest() | self.stemmer.manifest(), sort_keys=True)

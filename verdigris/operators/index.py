@@ -9,6 +9,7 @@ Every change gives a new index; statistics are derived anew from what is left.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -40,12 +41,21 @@ class SearchIndex:
     stored_corpus: DataFrame | None = None
     #: Postings and documents (of term ``DOCUMENT``) as one pass gives them.
     rows: DataFrame | None = None
+    #: What ``rows`` are made of: documents (doc_id, slug, __text) and their analyzer.
+    source: tuple[DataFrame, Analyzer] | None = None
 
     @cached_property
     def term_stats(self) -> DataFrame:
         if self.stored_term_stats is not None:
             return self.stored_term_stats
-        return self.postings.groupBy("term").agg(F.count("*").alias("nd"), F.sum("tf").alias("cf"))
+        return self.counts.groupBy("term").agg(F.count("*").alias("nd"), F.sum("tf").alias("cf"))
+
+    @property
+    def counts(self) -> DataFrame:
+        """Postings (term, doc_id, tf, dl) without positions, which needn't be made for them."""
+        if self.source is not None:
+            return _only_postings(_rows(*self.source, positions=False))
+        return self.postings.select("term", "doc_id", "tf", "dl")
 
     @cached_property
     def corpus(self) -> DataFrame:
@@ -105,9 +115,7 @@ class SearchIndex:
         """The index with its tables written to the shared folder: what was built
         in one pass is read twice, and changes don't add to a growing plan."""
         if self.rows is not None:
-            rows = durable(self.rows)
-            docs = rows.where("first < 0").select("doc_id", "slug", F.col("dl").alias("num_terms"))
-            return SearchIndex(_only_postings(rows), docs, self.analyzer)
+            return _of_rows(durable(self.rows), self.analyzer)
         return SearchIndex(durable(self.postings), durable(self.doc_stats), self.analyzer)
 
 
@@ -138,17 +146,70 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", a
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(slug_col or id_col).cast("string").alias("slug"), F.col(text_col).alias("__text"))
     if check:
         check_keys(docs.select("doc_id", "slug"))
-    tokens = analyzer.terms(docs.repartition("doc_id"), "__text", "doc_id", "slug", head=DOCUMENT)
-    rows = tokens.groupBy("doc_id", "term").agg(
-        F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"),
-        F.min("pos").alias("first"), F.first(F.when(F.col("pos") < 0, F.col("slug"))).alias("slug"),
-    )
+    return _of_source(docs, analyzer)
+
+
+def _of_source(docs: DataFrame, analyzer: Analyzer) -> SearchIndex:
+    rows = _rows(docs, analyzer)
     stats = docs.select("doc_id", "slug", F.size(analyzer.tokens(F.col("__text"))).cast("bigint").alias("num_terms"))
-    return SearchIndex(_only_postings(rows), stats, analyzer, rows=rows)
+    return SearchIndex(_only_postings(rows), stats, analyzer, rows=rows, source=(docs, analyzer))
+
+
+def _rows(docs: DataFrame, analyzer: Analyzer, only: list[str] | None = None, positions: bool = True) -> DataFrame:
+    """Postings (with ``only``, of these terms alone) and a row of term ``DOCUMENT`` for each document."""
+    docs = docs.repartition("doc_id")
+    if analyzer.stemmer.native:
+        own = F.struct(F.lit(DOCUMENT).alias("term"), F.lit(0).cast("bigint").alias("tf"), *[F.array(F.lit(-1)).alias("positions")] * positions)
+        lists = analyzer.lists(docs, "__text", "doc_id", "slug", only=only, positions=positions)
+        rows = lists.select("doc_id", "slug", "dl", F.inline(F.concat(F.array(own), "lists")))
+    else:  # Python can't be applied inside an array
+        tokens = analyzer.terms(docs, "__text", "doc_id", "slug", head=DOCUMENT)
+        if only is not None:
+            tokens = tokens.where(F.col("term").isin([*only, DOCUMENT]))
+        rows = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("slug").alias("slug"))
+    return rows.select("doc_id", "term", "tf", "dl", *["positions"] * positions, F.when(F.col("term") == DOCUMENT, F.col("slug")).alias("slug"))
 
 
 def _only_postings(rows: DataFrame) -> DataFrame:
-    return rows.where("first >= 0").select("term", "doc_id", "tf", "dl", "positions")
+    return rows.where(F.col("term") != DOCUMENT).select("term", "doc_id", "tf", "dl", *[c for c in ("positions",) if c in rows.columns])
+
+
+def _of_rows(rows: DataFrame, analyzer: Analyzer) -> SearchIndex:
+    """Of rows that were stored."""
+    docs = rows.where(F.col("term") == DOCUMENT).select("doc_id", "slug", F.col("dl").alias("num_terms"))
+    return SearchIndex(_only_postings(rows), docs, analyzer)
+
+
+#: Terms asked for, or documents removed, that are sent to every task at most; of terms, those that a plan names.
+FEW, NAMED = 500_000, 1_000
+
+
+def narrowed(index: SearchIndex, terms: DataFrame, few: int = FEW) -> SearchIndex:
+    """The index with the postings of ``terms`` (a column term) alone, without
+    positions, and the statistics of the whole. Unless the index is a stored one
+    its tables are written, so that texts are analysed once whatever is asked."""
+    asked = durable(terms.select("term").distinct())
+    size = asked.count()
+    if size <= min(few, NAMED):
+        return narrowed_to(index, [r["term"] for r in asked.collect()])
+    words = asked.unionByName(asked.sparkSession.range(1).select(F.lit(DOCUMENT).alias("term")))
+    return _narrow(index, lambda rows: rows.join(F.broadcast(words) if size <= few else words, "term", "left_semi"))
+
+
+def narrowed_to(index: SearchIndex, words: list[str]) -> SearchIndex:
+    """``narrowed`` to words that are known."""
+    rows = None if index.source is None else _rows(*index.source, words, positions=False)
+    return _narrow(index, lambda rows: rows.where(F.col("term").isin([*words, DOCUMENT])), rows)
+
+
+def _narrow(index: SearchIndex, of: Callable[[DataFrame], DataFrame], rows: DataFrame | None = None) -> SearchIndex:
+    if index.stored_term_stats is not None and index.stored_corpus is not None:
+        return SearchIndex(of(index.postings), index.doc_stats, index.analyzer, of(index.term_stats), index.corpus)
+    if index.rows is not None:
+        if rows is None:
+            rows = of(index.rows if index.source is None else _rows(*index.source, positions=False))
+        return _of_rows(durable(rows.select("doc_id", "term", "tf", "dl", "slug")), index.analyzer)
+    return SearchIndex(durable(of(index.postings).select("term", "doc_id", "tf", "dl")), durable(index.doc_stats), index.analyzer)
 
 
 def empty_index(spark, analyzer: Analyzer | None = None) -> SearchIndex:
@@ -166,8 +227,17 @@ def remove_documents(index: SearchIndex, slugs: DataFrame, check: bool = True) -
         missing = named.join(index.doc_stats, "slug", "left_anti").limit(5).collect()
         if missing:
             raise MissingDocument("no such document: " + ", ".join(str(r["slug"]) for r in missing))
-    gone = index.doc_stats.join(named, "slug", "left_semi").select("doc_id")
-    return SearchIndex(index.postings.join(gone, "doc_id", "left_anti").select(*index.postings.columns), index.doc_stats.join(gone, "doc_id", "left_anti").select(*index.doc_stats.columns), index.analyzer)
+    gone = durable(index.doc_stats.join(named, "slug", "left_semi").select("doc_id"))
+    if gone.count() <= FEW:
+        gone = F.broadcast(gone)
+
+    def left(table: DataFrame) -> DataFrame:
+        return table.join(gone, "doc_id", "left_anti").select(*table.columns)
+
+    if index.source is not None:
+        docs, analyzer = index.source
+        return replace(_of_source(left(docs), analyzer), analyzer=index.analyzer)
+    return SearchIndex(left(index.postings), left(index.doc_stats), index.analyzer, rows=None if index.rows is None else left(index.rows))
 
 
 def add_documents(index: SearchIndex, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slug_col: str | None = None, allow_overwrite: bool = False) -> SearchIndex:
@@ -185,7 +255,8 @@ def add_documents(index: SearchIndex, df: DataFrame, id_col: str = "doc_id", tex
     taken = index.doc_stats.join(new.doc_stats.select("doc_id"), "doc_id", "left_semi").limit(5).collect()
     if taken:
         raise DuplicateDocument("ids of other documents: " + ", ".join(f"{r['doc_id']} ({r['slug']})" for r in taken))
-    return SearchIndex(index.postings.unionByName(new.postings), index.doc_stats.unionByName(new.doc_stats), index.analyzer)
+    rows = None if index.rows is None or new.rows is None else index.rows.unionByName(new.rows)
+    return SearchIndex(index.postings.unionByName(new.postings), index.doc_stats.unionByName(new.doc_stats), index.analyzer, rows=rows)
 
 
 def with_analyzer(index: SearchIndex, analyzer: Analyzer) -> SearchIndex:

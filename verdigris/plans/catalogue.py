@@ -208,7 +208,7 @@ def stem_vowels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_index_sql()} SELECT * FROM postings")
 def postings_tf(spark: SparkSession, sf: str) -> DataFrame:
-    return built(spark, sf).postings.select("term", "doc_id", "tf")
+    return built(spark, sf).counts.select("term", "doc_id", "tf")
 
 
 @query(f"WITH {_index_sql()} SELECT term, doc_id, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM terms GROUP BY term, doc_id")
